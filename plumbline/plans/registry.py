@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import aggregations, io, joins, sets, windows  # noqa: F401
+from .base import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return QUERIES
 
 
 def oracles() -> dict:
-    return {}
+    return ORACLES
