@@ -97,13 +97,13 @@ def edit_distance(a: str, b: str) -> int:
     return row[-1]
 
 
-def dropped_lines(rows, threshold: int, min_chars: int) -> dict[int, list[int]]:
+def dropped_lines(rows, threshold: int = 1, min_chars: int = 60) -> dict[int, list[int]]:
     """Line numbers that go, per doc_id."""
     places = defaultdict(list)
     for doc, text in rows:
         if doc is not None and text is not None:
             for i, raw in enumerate(text.split("\n")):
-                line = re.sub(r"[ \t\n\x0B\f\r]+", " ", raw).strip(" ")
+                line = raw.strip(" ")
                 if len(line) >= min_chars:
                     places[line].append((doc, i))
     lines = sorted(places)
