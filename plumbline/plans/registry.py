@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregations, claims, io, joins, ledger, projections, scalars, sets, windows  # noqa: F401
+from . import aggregations, claims, features, io, joins, ledger, marts, projections, quality, scalars, serving, sets, windows  # noqa: F401
 from .base import ORACLES, QUERIES
 
 
