@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language_id, line_dedup, mixing, ppm_score, quality, secrets, topk
+from . import decontaminate, jaccard, language_id, line_dedup, mixing, ppm_score, quality, secrets, surrogates, topk
 from .common import crc_mod, read
 
 
@@ -51,6 +51,14 @@ def op7_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs.select("doc_id", "text", held.alias("held_out")), model)
 
 
+#: The key of the registered query; real runs bring their own secret.
+SECRET = "plumbline-demo-key"
+
+
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymised(read(spark, sf_dir, "documents"), SECRET)
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return topk.exact_topk(vectors, vectors.where(F.col("vec_id") % 20 == 0))
@@ -74,5 +82,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, domain(), weights_table(spark, WEIGHTS), share=0.5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_ppm_score, op3_line_dedup, op4_decontamination, op5_secret_scan, op6_jaccard_join, op7_quality_rank, op9_exact_topk, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_ppm_score, op3_line_dedup, op4_decontamination, op5_secret_scan, op6_jaccard_join, op7_quality_rank, op8_pii_surrogates, op9_exact_topk, op10_mixing)}
 ORACLES: dict[str, str] = {}
