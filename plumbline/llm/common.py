@@ -6,6 +6,8 @@ separator byte, so no word, window or context ever crosses from one document int
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the numpy kernels; a longer document makes a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
@@ -52,6 +54,26 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def lean(run):
+    """run(batches) that gives unused memory back to the system when its task ends: Python workers are used again by later stages."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
+def few_rows(batches, column: str, limit: int = 8 << 20):
+    """Batches cut so that a binary column has about `limit` bytes in each (one row at least)."""
+    for batch in batches:
+        yield from slices(batch, column, limit)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts, by one aggregate."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0])

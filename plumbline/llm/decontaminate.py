@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, U64, WordHasher, padded, raw_text, rolling, slices, string_batch, words
+from .common import ALNUM, LOWER, U64, WordHasher, lean, padded, raw_text, rolling, slices, string_batch, words
 
 WIDTH = 10
 _NOTHING = hashlib.sha256(b"").hexdigest()
@@ -155,7 +155,7 @@ def build_index(docs: DataFrame, block: DataFrame, width: int) -> WindowIndex:
         yield pa.RecordBatch.from_pydict({"word": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
     counts = np.zeros(len(vocabulary), np.int64)
-    for r in docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # a row per word of the block
+    for r in docs.select("text").mapInArrow(lean(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # a row per word of the block
         counts[r[0]] = r[1]
     return WindowIndex(items, vocabulary, counts, width)
 
@@ -183,7 +183,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, blo
                         digest[d] = hashlib.sha256(",".join(ids).encode()).hexdigest()
                     yield string_batch(SCHEMA, doc_id=part.column("doc_id"), n_words=n_words, n_hit=hit, n_items=n_items, items_sha256=digest, contaminated=hit > 0)
 
-        return docs.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+        return docs.mapInArrow(lean(run), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
     each = [_parts(docs, build_index(docs, block, width)) for block in blocks]
     rows = reduce(DataFrame.unionByName, each).groupBy("doc_id", "text_md5", "n_words").agg(F.count("*").alias("copies"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
@@ -214,7 +214,7 @@ def _parts(docs: DataFrame, index: WindowIndex) -> DataFrame:
                 kinds = [pa.int64(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_md5"), *(pa.array(frame[c].tolist(), k) for c, k in zip(frame, kinds, strict=True))], names=["doc_id", "text_md5", "n_words", "spans", "items"])
 
-    return docs.withColumn("text_md5", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).mapInArrow(run, PARTS)
+    return docs.withColumn("text_md5", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).mapInArrow(lean(run), PARTS)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = 16 << 20) -> DataFrame:
@@ -231,5 +231,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
                     keep[[d for _, _, d, _ in index.find(part.column("text"), hasher)[1]]] = False
                     yield part.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(lean(run), docs.schema)
     return out

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, padded, raw_text, slices, string_batch
+from .common import LOWER, lean, padded, raw_text, slices, string_batch
 
 UNDETERMINED = "und"
 
@@ -183,4 +183,4 @@ def identify(docs: DataFrame, model: ContextTrees) -> DataFrame:
                 yield string_batch(SCHEMA, doc_id=part.column("doc_id"), held_out=part.column("held_out"), lang_pred=names[np.where(letters, best, -1)].tolist(), score=np.where(letters, score, 0.0), code_bits=np.where(letters, least[:, 0], 0.0))
 
     letters = F.col("text").rlike(r"\p{L}").alias("letters")
-    return docs.select(F.col("doc_id").cast("long"), "held_out", "text", letters).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, code_bits double")
+    return docs.select(F.col("doc_id").cast("long"), "held_out", "text", letters).mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double, code_bits double")

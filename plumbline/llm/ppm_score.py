@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, U64, WordHasher, cut, mix, padded, raw_text, shuffle_partitions, slices, words
+from .common import LOWER, NOT_SPACE, U64, WordHasher, cut, lean, mix, padded, raw_text, shuffle_partitions, slices, words
 
 END = 256
 SYMBOLS = 257
@@ -79,7 +79,7 @@ def pair_counts(docs: DataFrame, train: Column) -> tuple[int, int, np.ndarray]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"code": pa.array(np.concatenate(([-2, -1], at)), pa.int64()), "n": pa.array(np.concatenate(([size, rows], total[at])), pa.int64())})
 
-    got = docs.select("text", train.alias("train")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # 257 * 257 + 2 rows at most
+    got = docs.select("text", train.alias("train")).mapInArrow(lean(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # 257 * 257 + 2 rows at most
     code, n = np.asarray(got.column("code"), np.int64), np.asarray(got.column("n"), np.int64)
     pairs = np.zeros(SYMBOLS * SYMBOLS, np.int64)
     pairs[code[code >= 0]] = n[code >= 0]
@@ -317,9 +317,9 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = 4, block_bytes:
     bins = max(shuffle_partitions(spark), -(-int(size * REQUESTS_PER_BYTE) // BIN_REQUESTS))
     spread = max(shuffle_partitions(spark), blocks // 8)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(spread, "block")
-    asked = dealt.select("block", "text", "train").sortWithinPartitions("block").mapInArrow(_ask(order, bins), "block long, bin long, words binary, word_n binary, runs binary, run_n binary, wide boolean")
+    asked = dealt.select("block", "text", "train").sortWithinPartitions("block").mapInArrow(lean(_ask(order, bins)), "block long, bin long, words binary, word_n binary, runs binary, run_n binary, wide boolean")
     asked = asked.repartition(shuffle_partitions(spark), "bin").sortWithinPartitions("bin", "block")
-    answers = asked.mapInArrow(_answer(spark.sparkContext.broadcast(pairs), order), "block long, bin long, word_n binary, run_p binary").repartition(spread, "block")
+    answers = asked.mapInArrow(lean(_answer(spark.sparkContext.broadcast(pairs), order)), "block long, bin long, word_n binary, run_p binary").repartition(spread, "block")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, stat_n long, stat_v long"
     out = cut(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, bins), schema))
     stats = out.where(F.col("stat_n").isNotNull()).agg(F.coalesce(F.sum("stat_n"), F.lit(0)), F.coalesce(F.sum("stat_v"), F.lit(0))).first()

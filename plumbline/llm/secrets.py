@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, string_batch
+from .common import lean, slices, string_batch
 
 KINDS = ("assign", "access", "hex", "identifier", "candidate", "endpoint")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -124,4 +124,4 @@ def scan(docs: DataFrame, scope: int = 300) -> DataFrame:
                         spans[i] = joined(sorted(base + weak))
                 yield string_batch(SCHEMA, doc_id=part.column("doc_id"), n_assign=counts[0], n_access=counts[1], n_hex=counts[2], n_linked=counts[3], base_sha256=digest, spans=spans)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_linked long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_assign long, n_access long, n_hex long, n_linked long, base_sha256 string, spans string")

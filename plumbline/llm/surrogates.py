@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, string_batch
+from .common import lean, slices, string_batch
 
 KINDS = ("email", "phone", "card", "ip", "person")
 #: Given names by script and gender.
@@ -250,7 +250,7 @@ def entity_table(docs: DataFrame, key: bytes) -> DataFrame:
             rows = sorted(seen)
             yield string_batch(ENTITY, kind=[k for k, _ in rows], original=[v for _, v in rows], surrogate=[names.of(k, v) for k, v in rows])
 
-    return docs.select("text").mapInArrow(run, "kind string, original string, surrogate string").distinct()
+    return docs.select("text").mapInArrow(lean(run), "kind string, original string, surrogate string").distinct()
 
 
 def collisions(table: DataFrame) -> DataFrame:
@@ -293,4 +293,4 @@ def pseudonymised(docs: DataFrame, secret: str, versions: int = 5) -> DataFrame:
                     column = pc.replace_with_mask(column, pa.array(mask), pa.array(list(changed.values()), column.type))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c) for c in counts), pa.array(spans), column.cast(pa.string())], schema=SCHEMA)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", spans string, text string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", spans string, text string")

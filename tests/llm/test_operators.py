@@ -477,7 +477,7 @@ def test_prefixes_of_seeded_epochs(spark):
     for r in got:
         assert r["n_tokens"] == tokens[r["doc_id"]]
         chosen[leaf[r["doc_id"]]][r["epoch"]].add(r["doc_id"])
-    spot = {(r["doc_id"], r["e"]): r["x"] & (1 << 64) - 1 for r in docs.select("doc_id", F.explode(F.array(*map(F.lit, range(5)))).cast("long").alias("e")).select("doc_id", "e", F.xxhash64(F.lit(1), "e", "doc_id").alias("x")).collect()}
+    spot = {(r["doc_id"], r["e"]): r["x"] & (1 << 64) - 1 for r in docs.select("doc_id", F.explode(F.array(*[F.lit(x).cast("long") for x in range(5)])).alias("e")).select("doc_id", "e", F.xxhash64(F.lit(1), "e", "doc_id").alias("x")).collect()}
     for k, n in sizes.items():
         whole = min(4, int((budgets[k] + 1e-6) // n))
         members = [d for d in tokens if leaf[d] == k and tokens[d]]
