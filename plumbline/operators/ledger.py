@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import hashlib
+from collections.abc import Sequence
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scoring import chain_hash
-from plumbline.functions.similarity import similarity
 
 
 def append_chain(rows: DataFrame, ledger: str, order: Sequence[str], own: str, seeds: DataFrame | None = None) -> DataFrame:
@@ -47,43 +46,69 @@ def first_break(ledger: DataFrame, key: str, order: Sequence[str], own: str) ->
     return verify_chain(ledger, key, order, own).groupBy(key).agg(F.min("position").alias("position"))
 
 
+class _Near:
+    """The first of the kept texts that is near a new one. The new text is indexed once, and cheap upper bounds come before the exact ratio."""
+
+    def __init__(self, least: float):
+        self.least, self.matcher = least, SequenceMatcher(None)
+        self.kept: list[tuple] = []
+
+    def find(self, text: str) -> tuple[int, float] | None:
+        m = self.matcher
+        m.set_seq2(text)
+        for k, (_, own) in enumerate(self.kept):
+            m.set_seq1(own)
+            if m.real_quick_ratio() >= self.least and m.quick_ratio() >= self.least and (s := m.ratio()) >= self.least:
+                return k, s
+        return None
+
+
 def void_near_duplicates(rows: DataFrame, group: Sequence[str], order: Sequence[str], row_id: str, text: str, least: float = 0.65) -> DataFrame:
-    """(row_id, kept_id, ratio) of the rows to void: in order, a row goes if its text is near that of a row kept before it in the same group. Order-dependent, so it runs per group; equal texts are decided without a comparison."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        exact: dict[str, object] = {}
-        out = []
-        for r in frame.sort_values(list(order)).itertuples():
-            i, x = getattr(r, row_id), getattr(r, text) or ""
-            if x in exact:
-                out.append((i, exact[x], 1.0))
-                continue
-            hit = next(((j, s) for j, y in kept if (s := similarity(y, x)) >= least), None)
-            if hit:
-                out.append((i, *hit))
-            else:
-                kept.append((i, x))
-                exact[x] = i
-        return pd.DataFrame(out, columns=[row_id, "kept_id", "ratio"])
+    """(row_id, kept_id, ratio) of the rows to void: in order, a row goes if its text is near that of a row kept before it in the same group. The rule depends on the order, so each group is read as a stream that holds only what was kept; equal texts are decided without a comparison."""
+
+    def run(frames):
+        key, near, exact = object(), _Near(least), {}
+        for f in frames:
+            out = []
+            for k, i, x in zip(f["__group"], f[row_id], f[text].fillna(""), strict=True):
+                if k != key:
+                    key, near, exact = k, _Near(least), {}
+                if x in exact:
+                    out.append((i, exact[x], 1.0))
+                elif hit := near.find(x):
+                    out.append((i, near.kept[hit[0]][0], hit[1]))
+                else:
+                    near.kept.append((i, x))
+                    exact[x] = i
+            yield pd.DataFrame(out, columns=[row_id, "kept_id", "ratio"])
 
     kind = rows.schema[row_id].dataType.simpleString()
-    columns = list(dict.fromkeys([*group, *order, row_id, text]))
-    return rows.select(*columns).groupBy(*group).applyInPandas(run, f"{row_id} {kind}, kept_id {kind}, ratio double")
+    named = rows.withColumn("__group", F.to_json(F.struct(*group), {"ignoreNullFields": "false"}))
+    return named.repartition("__group").sortWithinPartitions("__group", *order).select("__group", row_id, text).mapInPandas(run, f"{row_id} {kind}, kept_id {kind}, ratio double")
 
 
 def distinct_claims(rows: DataFrame, group: str, order: str, text: str, least: float = 0.75) -> DataFrame:
     """Claims of one article, near-duplicates merged: the longest text of each cluster stays in the place of the first."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
-        for x in frame.sort_values(order)[text]:
-            near = next((k for k, y in enumerate(kept) if similarity(y, x) >= least), None)
-            if near is None:
-                kept.append(x)
-            elif len(x) > len(kept[near]):
-                kept[near] = x
-        return pd.DataFrame({group: [frame[group].iloc[0]] * len(kept), "claim_no": range(len(kept)), text: kept})
+    def run(frames):
+        key, near, any_ = None, _Near(least), False
+
+        def flush():
+            return [(key, n, x) for n, (_, x) in enumerate(near.kept)]
+
+        for f in frames:
+            out = []
+            for k, x in zip(f[group], f[text].fillna(""), strict=True):
+                if not any_ or k != key:
+                    out += flush()
+                    key, near, any_ = k, _Near(least), True
+                hit = near.find(x)
+                if hit is None:
+                    near.kept.append((None, x))
+                elif len(x) > len(near.kept[hit[0]][1]):
+                    near.kept[hit[0]] = (None, x)
+            yield pd.DataFrame(out, columns=[group, "claim_no", text])
+        yield pd.DataFrame(flush(), columns=[group, "claim_no", text])
 
     kind = rows.schema[group].dataType.simpleString()
-    return rows.select(group, order, text).groupBy(group).applyInPandas(run, f"{group} {kind}, claim_no int, {text} string")
+    return rows.select(group, order, text).repartition(group).sortWithinPartitions(group, order).mapInPandas(run, f"{group} {kind}, claim_no int, {text} string")
