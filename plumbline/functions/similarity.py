@@ -14,7 +14,6 @@ def similarity(a: str | None, b: str | None) -> float | None:
     return None if a is None or b is None else SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     known: dict[tuple, float | None] = {}
     out = []
@@ -27,7 +26,7 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def ratio(a: Column, b: Column) -> Column:
     """0 to 1."""
-    return _ratio(a, b)
+    return F.pandas_udf(_ratio, T.DoubleType())(a, b)
 
 
 def percent(a: Column, b: Column) -> Column:

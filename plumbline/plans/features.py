@@ -128,4 +128,4 @@ def ml_mcts(t: Tables) -> DataFrame:
 
     actions = [(r["buyer"], r["seller"], float(r["gain"])) for r in t.sql("SELECT b.s_suppkey AS buyer, a.s_suppkey AS seller, a.s_acctbal AS gain FROM {supplier} b JOIN {supplier} a ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey ORDER BY gain DESC, buyer, seller LIMIT 20").collect()]  # a top-k report
     best = search(actions, depth=2, rounds=200, seed=7)
-    return t.spark.createDataFrame([best], "buyer long, seller long, visits int")
+    return t.spark.createDataFrame([best] if best else [], "buyer long, seller long, visits int")
