@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +29,28 @@ def scratch(spark: SparkSession) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context: they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_plumbline", None):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    path = pathlib.Path(tempfile.mkdtemp(prefix="plumbline-")) / "plumbline_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._plumbline = str(path)
+
+
+def shipped(f):
+    """f(spark, ...) that ships the package first."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, *args):
+        ship(spark)
+        return f(spark, *args)
+
+    return run
