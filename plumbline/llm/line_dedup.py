@@ -24,6 +24,8 @@ from .components import components
 
 THRESHOLD = 1
 MIN_CHARS = 60
+#: The registered jobs compare all lines of this length on; shorter ones ("}", "else:") mean nothing alone.
+JOB_CHARS = 10
 #: Pieces of the finer keys.
 FINE = 9
 #: Candidate places up to this number are broadcast, more are joined by a shuffle.
