@@ -19,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take repeated lines out of the texts and bring n_chars up to date."""
-    out = line_dedup.dedup_lines(docs, min_chars=line_dedup.JOB_CHARS)
+    out = line_dedup.dedup_lines(docs, line_dedup.JOB_STEPS, line_dedup.JOB_CHARS, collapse=True)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out

@@ -1,10 +1,11 @@
 """Line deduplication by a segment-partition edit join, in DataFrame functions only.
 
-Lines of at least `min_chars` code points (without spaces at the ends) are compared over the whole corpus. A line is cut into
+Lines of at least `min_chars` code points (without spaces at the ends; with `collapse` each run of white space is one space) are compared over the whole corpus.
+The threshold is one number of edits, or steps (length, edits): the length of the shorter of two lines decides. A line is cut into
 threshold + 1 segments: of two lines within the edit threshold one segment of the shorter must occur unchanged in the longer,
 near its own place. Segments are the index, length-aware substrings the probes. Under each segment the lines are first linked with
-the smallest one; where lines of different classes remain under a segment, they are paired by finer keys (for one edit: all of the
-line but one of `FINE` pieces). Candidates are
+the smallest one; where lines of different classes remain under a segment, they are paired by finer keys (all of the
+line but as many of its `FINE` pieces as edits are allowed). Candidates are
 verified by the engine's banded edit distance (the bit-parallel form has no native counterpart). Lines joined by links,
 also over several steps, form a class; its first occurrence (smallest doc_id, then line number) stays and the others go.
 
@@ -16,6 +17,8 @@ other columns are carried along under whatever name.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +29,42 @@ THRESHOLD = 1
 MIN_CHARS = 60
 #: The registered jobs compare all lines of this length on; shorter ones ("}", "else:") mean nothing alone.
 JOB_CHARS = 10
-#: Pieces of the finer keys.
-FINE = 9
-#: Candidate places up to this number are broadcast, more are joined by a shuffle.
+#: Edits the registered jobs allow, by the length from which they hold.
+JOB_STEPS = ((0, 1), (20, 2))
+#: Pieces of the finer keys by number of edits.
+FINE = {1: 9, 2: 6}
+#: Candidate places and segments up to this number are broadcast, more are joined by a shuffle.
 BROADCAST_PLACES = 200_000
 
 
-def exploded(docs: DataFrame, min_chars: int) -> DataFrame:
+Threshold = int | tuple[tuple[int, int], ...]
+
+
+def steps_of(threshold: Threshold) -> list[tuple[int, int | None, int]]:
+    """(length from, length below, edits) of each step."""
+    steps = ((0, threshold),) if isinstance(threshold, int) else threshold
+    return [(low, high, t) for (low, t), high in zip(steps, [*(x for x, _ in steps[1:]), None], strict=True)]
+
+
+def allowed(length: Column, threshold: Threshold) -> Column:
+    """The edits allowed to a line of that length and a longer one."""
+    out = F.lit(0)
+    for low, _, t in steps_of(threshold):
+        out = F.when(length >= low, t).otherwise(out)
+    return out
+
+
+def normal(text: Column) -> Column:
+    """Texts with each run of white space inside a line as one space."""
+    some = text.contains("  ")
+    for c in "\t\x0b\f\r":
+        some = some | text.contains(c)
+    return F.when(some, F.regexp_replace(text, r"[ \t\x0B\f\r]+", " ")).otherwise(text)
+
+
+def exploded(docs: DataFrame, min_chars: int, collapse: bool = False) -> DataFrame:
     """(doc_id, line_no, line) of the lines that take part."""
-    lines = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    lines = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split(normal(F.col("text")) if collapse else "text", "\n")).alias("line_no", "raw"))
     lines = lines.select("doc_id", "line_no", F.trim("raw").alias("line"))
     return lines.where(F.length("line") >= min_chars)
 
@@ -47,83 +77,110 @@ def _segment(i: int, threshold: int, length: Column) -> tuple[Column, Column]:
     return (F.lit(i) * base + F.greatest(F.lit(0), F.lit(i) - plain)).cast("int"), (base + F.when(F.lit(i) >= plain, 1).otherwise(0)).cast("int")
 
 
-def segment_keys(line: Column, threshold: int) -> tuple[list[Column], list[Column]]:
-    """Hashes of (segment number, length of the indexed line, substring): the line's own segments, and its probes for lines not longer than it."""
+def _inside(length: Column, low: int, high: int | None) -> Column:
+    return length >= low if high is None else (length >= low) & (length < high)
+
+
+def segment_keys(line: Column, threshold: Threshold) -> tuple[list[Column], list[Column]]:
+    """Hashes of (segment number, length of the indexed line, substring): the line's own segments, and its probes for lines not longer than it; null in other steps."""
     n = F.length(line).cast("int")
     index, probe = [], []
-    for i in range(threshold + 1):
-        at, size = _segment(i, threshold, n)
-        index.append(F.xxhash64(F.lit(i), n, F.substring(line, at + 1, size)))
-        for delta in range(threshold + 1):  # the line probes for lines shorter by delta
-            short = n - delta
-            at, size = _segment(i, threshold, short)
-            # the shift is limited from the left by i and from the right by threshold - i
-            for shift in range(max(-i, delta - (threshold - i)), min(i, delta + (threshold - i)) + 1):
-                if delta or shift:
-                    probe.append(F.xxhash64(F.lit(i), short, F.substring(line, at + 1 + shift, size)))
+    for low, high, most in steps_of(threshold):
+        for i in range(most + 1):
+            at, size = _segment(i, most, n)
+            index.append(F.when(_inside(n, low, high), F.xxhash64(F.lit(i), n, F.substring(line, at + 1, size))))
+            for delta in range(most + 1):  # the line probes for lines shorter by delta
+                short = n - delta
+                at, size = _segment(i, most, short)
+                # the shift is limited from the left by i and from the right by most - i
+                for shift in range(max(-i, delta - (most - i)), min(i, delta + (most - i)) + 1):
+                    if delta or shift:
+                        probe.append(F.when(_inside(short, low, high), F.xxhash64(F.lit(i), short, F.substring(line, at + 1 + shift, size))))
     return index, probe
 
 
-def piece_keys(line: Column) -> tuple[list[Column], list[Column]]:
-    """Keys of a line without one of FINE pieces: own keys, and probes for lines shorter by one. Lines one edit apart share a key, since the edit lies inside one piece."""
+def _runs(gone: tuple[int, ...], pieces: int, steps: tuple[int, ...]) -> tuple[tuple[int, int, int], ...]:
+    """(first piece, piece after the last, shift) of the runs between the pieces that are left out, where the net insertions in those are `steps`."""
+    out, start, shift = [], 0, 0
+    for piece, step in zip([*gone, pieces], [*steps, 0], strict=True):
+        if piece > start:
+            out.append((start, piece, shift))
+        start, shift = piece + 1, shift + step
+    return tuple(out)
+
+
+def piece_keys(line: Column, threshold: Threshold) -> tuple[list[Column], list[Column]]:
+    """Keys of a line without as many of its pieces as edits are allowed: own keys, and probes for lines not longer than it. The edits between two lines lie inside so many pieces of the shorter at most, and the runs between these occur in the longer, moved by the insertions and deletions before them."""
     n = F.length(line).cast("int")
-    out = []
-    for short in (n, n - 1):
-        keys = []
-        for j in range(FINE):
-            at, size = _segment(j, FINE - 1, short)
-            tail = short - at - size
-            keys.append(F.xxhash64(F.lit(j), short, F.substring(line, F.lit(1), at), F.substring(line, n - tail + 1, tail)))
-        out.append(keys)
-    return out[0], out[1]
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    own, probes = [], []
+    for low, high, most in steps_of(threshold):
+        pieces = FINE[most]
+        for delta in range(most + 1):
+            short = n - delta
+            spots = [_segment(j, pieces - 1, short) for j in range(pieces)]
+            starts = [at for at, _ in spots] + [short]
+            for gone in itertools.combinations(range(pieces), most):
+                moves = [m for m in itertools.product(range(-most, most + 1), repeat=most) if sum(map(abs, m)) <= most and sum(m) == delta]
+                for runs in sorted({_runs(gone, pieces, m) for m in moves}):
+                    parts = [F.substring(line, starts[a] + 1 + shift, starts[b] - starts[a]) for a, b, shift in runs]
+                    key = F.when(_inside(short, low, high), F.xxhash64(F.lit(",".join(map(str, gone))), short, *parts))
+                    (probes if delta or any(shift for _, _, shift in runs) else own).append(key)
+    return own, probes
+
+
+def _entries(own: list[Column], probes: list[Column]) -> Column:
+    """One row (h, own) of each key that is not null."""
+    parts = [F.struct(h.alias("h"), F.lit(i < len(own)).alias("own")) for i, h in enumerate([*own, *probes])]
+    return F.explode(F.filter(F.array(*parts), lambda e: e.h.isNotNull()))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: Threshold) -> DataFrame:
     """The pairs (x, y) whose lines are within the threshold."""
     one = pairs.join(texts.select(F.col("key").alias("x"), F.col("line").alias("lx")), "x")
     both = one.join(texts.select(F.col("key").alias("y"), F.col("line").alias("ly")), "y")
-    return both.where(F.levenshtein("lx", "ly", threshold) >= 0).select("x", "y")
+    edits = F.levenshtein("lx", "ly", max(t for _, _, t in steps_of(threshold)))
+    return both.where((edits >= 0) & (edits <= allowed(F.least(F.length("lx"), F.length("ly")), threshold))).select("x", "y")
 
 
-def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, threshold: Threshold = THRESHOLD, min_chars: int = MIN_CHARS, collapse: bool = False) -> DataFrame:
     """(doc_id, line_no) of every occurrence that is not the first of its class."""
     line = F.col("line")
     index, probe = segment_keys(line, threshold)
     key = F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))  # a 128-bit name
     entries = [*index, *probe]
-    occurrences = cut(exploded(docs, min_chars).select("doc_id", "line_no", key.alias("key"), *(e.alias(f"e{i}") for i, e in enumerate(entries))))
+    occurrences = cut(exploded(docs, min_chars, collapse).select("doc_id", "line_no", key.alias("key"), *(e.alias(f"e{i}") for i, e in enumerate(entries))))
     place = F.struct("doc_id", "line_no")
-    lines = cut(occurrences.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), *(F.min(f"e{i}").alias(f"e{i}") for i in range(len(entries)))))
-
-    parts = F.array(*(F.struct(F.col(f"e{i}").alias("h"), F.lit(i < len(index)).alias("own")) for i in range(len(entries))))
-    under = lines.select("key", F.explode(parts).alias("e")).select("key", "e.h", "e.own")
-    groups = under.groupBy("h").agg(F.min("key").alias("lead"), F.max("key").alias("high"), F.max("own").alias("any")).where(F.col("any") & (F.col("lead") != F.col("high"))).select("h", "lead")
-    shared = cut(under.join(groups, "h"))
+    lines = cut(occurrences.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+
+    names = [F.col(f"e{i}") for i in range(len(entries))]
+    under = occurrences.select("key", _entries(names[: len(index)], names[len(index) :]).alias("e")).select("key", "e.h", "e.own")
+    several = cut(under.select("h", "key.a", "own").groupBy("h").agg(F.min("a").alias("low"), F.max("a").alias("high"), F.max("own").alias("any")).where(F.col("any") & (F.col("low") != F.col("high"))).select("h"))
+    several = F.broadcast(several) if several.count() <= BROADCAST_PLACES else several
+    shared = cut(under.join(several, "h", "left_semi").distinct())
+    shared = cut(shared.join(shared.groupBy("h").agg(F.min("key").alias("lead")), "h"))
     star = cut(shared.where(F.col("key") != F.col("lead")).select(F.col("lead").alias("x"), F.col("key").alias("y")).distinct())
     wanted = lines.join(shared.select("key").distinct(), "key", "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "key")
     wanted = cut(wanted)
     places = F.broadcast(wanted) if wanted.count() <= BROADCAST_PLACES else wanted
-    texts = cut(exploded(docs, min_chars).join(places, ["doc_id", "line_no"]).where(F.col("key.a") == F.xxhash64("line")).select("key", "line").dropDuplicates(["key"]))
+    texts = cut(exploded(docs, min_chars, collapse).join(places, ["doc_id", "line_no"]).where(F.col("key.a") == F.xxhash64("line")).select("key", "line").dropDuplicates(["key"]))
     links = cut(_verified(star, texts, threshold))
-    labels = components(links)
+    labels = cut(components(links))
 
     named = lines.select("key").join(shared.select("key").distinct(), "key", "left_semi").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("key", F.coalesce("label", "key").alias("label"))
     named = cut(named)
     marked = shared.join(named, "key").join(named.select(F.col("key").alias("lead"), F.col("label").alias("leading")), "lead")
     split = marked.where(F.col("label") != F.col("leading")).select("h").distinct()
     rest = cut(marked.join(split, "h", "left_semi").select("h", "key", "own", "label"))
-    if threshold == 1:
-        own, probes = piece_keys(line)
-        parts = F.array(*(F.struct(h.alias("h"), F.lit(i < FINE).alias("own")) for i, h in enumerate([*own, *probes])))
-        rest = rest.select("key", "label").distinct().join(texts, "key").select("key", "label", F.explode(parts).alias("e")).select("e.h", "key", "e.own", "label")
-        split = rest.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("h")
-        rest = cut(rest.join(split, "h", "left_semi"))
+    rest = rest.select("key", "label").distinct().join(texts, "key").select("key", "label", _entries(*piece_keys(line, threshold)).alias("e")).select("e.h", "key", "e.own", "label")
+    rest = cut(rest)
+    split = rest.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("h")
+    rest = cut(rest.join(split, "h", "left_semi"))
     left = rest.where("own").select("h", F.col("key").alias("x"), F.col("label").alias("lx"))
     right = rest.select("h", F.col("key").alias("y"), F.col("label").alias("ly"))
     more = left.join(right, "h").where(F.col("lx") != F.col("ly")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     more = cut(_verified(more.join(star, ["x", "y"], "left_anti"), texts, threshold))
     if more.limit(1).count():
-        labels = components(links.union(more))
+        labels = cut(components(links.union(more)))
 
     known = lines.select("key", "first", "n").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").where(F.col("label").isNotNull() | (F.col("n") > 1))
     known = known.withColumn("label", F.coalesce("label", "key"))
@@ -132,9 +189,9 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     return occurrences.select("doc_id", "line_no", "key").join(decided, "key").where(place != F.col("keeper")).select("doc_id", "line_no")
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, dropped: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: Threshold = THRESHOLD, min_chars: int = MIN_CHARS, dropped: str | None = None, collapse: bool = False) -> DataFrame:
     """docs with the repeated lines taken out of their text; `dropped` names an extra column for the dropped line numbers."""
-    gone = line_classes(docs.select("doc_id", "text"), threshold, min_chars).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("__gone"))
+    gone = line_classes(docs.select("doc_id", "text"), threshold, min_chars, collapse).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("__gone"))
     gone = gone.withColumnRenamed("doc_id", "__doc")
     out = docs.join(gone, docs["doc_id"] == gone["__doc"], "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))

@@ -26,7 +26,7 @@ def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = line_dedup.dedup_lines(docs, min_chars=line_dedup.JOB_CHARS, dropped="dropped")
+    out = line_dedup.dedup_lines(docs, line_dedup.JOB_STEPS, line_dedup.JOB_CHARS, dropped="dropped", collapse=True)
     lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
     n = F.size("dropped")
     return out.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long").alias("n_kept"), n.cast("long").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped_lines"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import queries
+from plumbline.llm import line_dedup, queries
+
+from . import brute
 
 DOCS = "doc_id long, text string"
 
@@ -32,3 +38,42 @@ def test_short_lines(line_jobs):
     gone, left = line_jobs(texts)
     assert gone == {0: "", 1: "1,3,4", 2: "0,1"}
     assert left == {0: texts[0], 1: "}\nown line here", 2: "another line, not the same"}
+
+
+def test_near_lines_of_two_edits(line_jobs):
+    """Two edits from 20 code points, one below; white space inside a line does not count."""
+    base = "the quick brown fox jumps over the lazy dog once more before noon today"
+    texts = [f"{base}\nshort lines 1", base.replace("quick", "quack").replace("noon", "noun"), "xx" + base, base.replace(" ", " \t ") + "\r", "short lynes 2\n" + base.replace("quick", "slower")]
+    gone, _ = line_jobs(texts)
+    assert gone == {0: "", 1: "0", 2: "0", 3: "0", 4: ""}
+
+
+def test_steps_equal_brute_force(spark):
+    """Clusters of near lines of 10 to 40 code points against all pairs."""
+    rng = random.Random(5)
+    lines = []
+    for n in [*range(12, 32, 2), 40, 40]:
+        base = [rng.choice("abc ") for _ in range(n)]
+        for _ in range(9):
+            y = list(base)
+            for _ in range(rng.randint(0, 4)):
+                k = rng.randrange(len(y))
+                how = rng.randrange(3)
+                y[k : k + (how != 1)] = [rng.choice("abc")] * (how != 0)
+            lines.append("".join(y))
+    rng.shuffle(lines)
+    plain = [" ".join(x.split()) for x in lines]
+    up = list(range(len(lines)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(lines)), 2):
+        short = min(len(plain[i]), len(plain[j]))
+        if short >= 10 and brute.edit_distance(plain[i], plain[j]) <= (1 if short < 20 else 2):
+            up[max(root(i), root(j))] = min(root(i), root(j))
+    df = spark.createDataFrame(list(enumerate(lines)), DOCS)
+    out = line_dedup.dedup_lines(df, line_dedup.JOB_STEPS, line_dedup.JOB_CHARS, dropped="gone", collapse=True).where(F.size("gone") > 0)
+    assert {r["doc_id"] for r in out.collect()} == {i for i in range(len(lines)) if root(i) != i}
