@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -80,9 +81,9 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], scope: int) -> lis
             weak.append((m.start(), m.end()))
 
     def near(spans: list[tuple[int, int]]):
-        """A test for a member of spans within the scope; spans are sorted by start and disjoint."""
-        begin, end = [s for s, _ in spans], [e for _, e in spans]
-        return lambda s, e: bisect.bisect_left(end, s - scope) < bisect.bisect_right(begin, e + scope)
+        """A test for a member of spans within the scope; spans are sorted by start and may lie inside one another."""
+        begin, furthest = [s for s, _ in spans], list(itertools.accumulate((e for _, e in spans), max))
+        return lambda s, e: (i := bisect.bisect_right(begin, e + scope)) > 0 and furthest[i - 1] >= s - scope
 
     by_id, by_end, by_weak, by_strong = near(sorted(identifiers + access)), near(endpoints), near(weak), near(sorted(strong))
     out = [(s, 4, e) for s, e in weak if by_id(s, e) or by_end(s, e)]
