@@ -1,23 +1,30 @@
 """Line deduplication by a segment-partition edit join, in DataFrame functions only.
 
-Lines of at least `min_chars` code points (without spaces at the ends; with `collapse` each run of white space is one space) are compared over the whole corpus.
-The threshold is one number of edits, or steps (length, edits): the length of the shorter of two lines decides. A line is cut into
-threshold + 1 segments: of two lines within the edit threshold one segment of the shorter must occur unchanged in the longer,
-near its own place. Segments are the index, length-aware substrings the probes. Under each segment the lines are first linked with
-the smallest one; where lines of different classes remain under a segment, they are paired by finer keys (all of the
-line but as many of its `FINE` pieces as edits are allowed). Candidates are
-verified by the engine's banded edit distance (the bit-parallel form has no native counterpart). Lines joined by links,
-also over several steps, form a class; its first occurrence (smallest doc_id, then line number) stays and the others go.
-
-Exact copies are merged before the join, so a line that fills a third of all rows is one line there. A null text
-stays null and takes no part; rows with a null doc_id pass unchanged; rows that repeat a doc_id share their decisions per line
-number and line; an empty document stays as it is. A document whose lines all go keeps the empty text. All
-other columns are carried along under whatever name.
+Lines of at least `min_chars` code points (without spaces at the ends; with `collapse` each run of white space is one space)
+are compared over the whole corpus. The threshold is one number of edits, or steps (length, edits): the length of the
+shorter of two lines decides. Three levels find the candidates, and banded bit-parallel edit distance verifies them:
+
+1. Segments. Two lines within t edits have one of t + 1 segments of the shorter one in common, with exactly as many edits
+   before it as there are segments before it. So segment i moves by at most i places seen from the left end and t - i seen
+   from the right, and is read from the nearer end. Segment lengths follow a length class, not the length, so that one
+   entry serves lines of all lengths of its class; a line just above a class enters the class below too.
+2. Under each shared segment all lines are held against one lead and joined by what is verified. Segments that then
+   still hold several classes are paired line by line if they hold few lines.
+3. The others are split further: the place of the edits is narrowed piece by piece (all outside must be equal) until a few code points
+   are left, and their deletion neighbourhood is the last key. Lines that differ in a number inside a long common
+   template meet only where their numbers are near.
+
+Lines joined by links, also over several steps, form a class; its first occurrence (smallest doc_id, then line number)
+stays and the others go. Exact copies are merged before the join, so a line that fills a third of all rows is one line there.
+
+Defined cases: a null text stays null and takes no part; rows with a null doc_id pass unchanged; rows that repeat a doc_id
+share their decisions per line number and line; an empty document stays as it is; a document whose lines all go keeps
+the empty text; an empty table gives an empty one. All other columns are carried along under whatever name.
 """
 
 from __future__ import annotations
 
-import itertools
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,27 +38,30 @@ MIN_CHARS = 60
 JOB_CHARS = 10
 #: Edits the registered jobs allow, by the length from which they hold.
 JOB_STEPS = ((0, 1), (20, 2))
-#: Pieces of the finer keys by number of edits.
-FINE = {1: 9, 2: 6}
-#: Candidate places and segments up to this number are broadcast, more are joined by a shuffle.
-BROADCAST_PLACES = 200_000
+#: Rows of a table that is broadcast, of two longs each; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+#: A key of several classes with more lines is split further.
+FEW_LINES = 16
+#: Pieces into which a gap is split, and the length from which its deletion neighbourhood is taken instead.
+PIECES, LAST_GAP = 3, 8
+#: Code points at either end that are compared first.
+END_SIGNS = 24
+
+KEY = ["a", "b"]
+Threshold = int | tuple[tuple[int, int], ...]
 
 
-Threshold = int | tuple[tuple[int, int], ...]
+def steps_of(threshold: Threshold) -> tuple[tuple[int, int], ...]:
+    return ((0, threshold),) if isinstance(threshold, int) else threshold
 
 
-def steps_of(threshold: Threshold) -> list[tuple[int, int | None, int]]:
-    """(length from, length below, edits) of each step."""
-    steps = ((0, threshold),) if isinstance(threshold, int) else threshold
-    return [(low, high, t) for (low, t), high in zip(steps, [*(x for x, _ in steps[1:]), None], strict=True)]
+def most_edits(threshold: Threshold) -> int:
+    return max(t for _, t in steps_of(threshold))
 
 
 def allowed(length: Column, threshold: Threshold) -> Column:
     """The edits allowed to a line of that length and a longer one."""
-    out = F.lit(0)
-    for low, _, t in steps_of(threshold):
-        out = F.when(length >= low, t).otherwise(out)
-    return out
+    return reduce(lambda out, step: F.when(length >= step[0], F.lit(step[1])).otherwise(out), steps_of(threshold), F.lit(0))
 
 
 def normal(text: Column) -> Column:
@@ -69,133 +79,234 @@ def exploded(docs: DataFrame, min_chars: int, collapse: bool = False) -> DataFra
     return lines.where(F.length("line") >= min_chars)
 
 
-def _segment(i: int, threshold: int, length: Column) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i of a line of that length; the last segments take the remainder."""
-    base = F.floor(length / (threshold + 1)).cast("int")
-    longer = length - base * (threshold + 1)
-    plain = threshold + 1 - longer
-    return (F.lit(i) * base + F.greatest(F.lit(0), F.lit(i) - plain)).cast("int"), (base + F.when(F.lit(i) >= plain, 1).otherwise(0)).cast("int")
+def named(line: Column) -> list[Column]:
+    """A 128-bit name of a line."""
+    return [F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b")]
 
 
-def _inside(length: Column, low: int, high: int | None) -> Column:
-    return length >= low if high is None else (length >= low) & (length < high)
+def class_of(length: Column) -> Column:
+    """The smallest length of the length class: the four leading binary digits."""
+    width = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.floor(F.log2(length)) - 3)).cast("int")
+    return length - length % width
 
 
-def segment_keys(line: Column, threshold: Threshold) -> tuple[list[Column], list[Column]]:
-    """Hashes of (segment number, length of the indexed line, substring): the line's own segments, and its probes for lines not longer than it; null in other steps."""
+def segment_keys(line: Column, threshold: Threshold) -> Column:
+    """The line's segment keys; the last bit tells a segment of the line (1) from a probe (0)."""
     n = F.length(line).cast("int")
-    index, probe = [], []
-    for low, high, most in steps_of(threshold):
-        for i in range(most + 1):
-            at, size = _segment(i, most, n)
-            index.append(F.when(_inside(n, low, high), F.xxhash64(F.lit(i), n, F.substring(line, at + 1, size))))
-            for delta in range(most + 1):  # the line probes for lines shorter by delta
-                short = n - delta
-                at, size = _segment(i, most, short)
-                # the shift is limited from the left by i and from the right by most - i
-                for shift in range(max(-i, delta - (most - i)), min(i, delta + (most - i)) + 1):
-                    if delta or shift:
-                        probe.append(F.when(_inside(short, low, high), F.xxhash64(F.lit(i), short, F.substring(line, at + 1 + shift, size))))
-    return index, probe
-
-
-def _runs(gone: tuple[int, ...], pieces: int, steps: tuple[int, ...]) -> tuple[tuple[int, int, int], ...]:
-    """(first piece, piece after the last, shift) of the runs between the pieces that are left out, where the net insertions in those are `steps`."""
-    out, start, shift = [], 0, 0
-    for piece, step in zip([*gone, pieces], [*steps, 0], strict=True):
-        if piece > start:
-            out.append((start, piece, shift))
-        start, shift = piece + 1, shift + step
-    return tuple(out)
-
-
-def piece_keys(line: Column, threshold: Threshold) -> tuple[list[Column], list[Column]]:
-    """Keys of a line without as many of its pieces as edits are allowed: own keys, and probes for lines not longer than it. The edits between two lines lie inside so many pieces of the shorter at most, and the runs between these occur in the longer, moved by the insertions and deletions before them."""
-    n = F.length(line).cast("int")
-    own, probes = [], []
-    for low, high, most in steps_of(threshold):
-        pieces = FINE[most]
-        for delta in range(most + 1):
-            short = n - delta
-            spots = [_segment(j, pieces - 1, short) for j in range(pieces)]
-            starts = [at for at, _ in spots] + [short]
-            for gone in itertools.combinations(range(pieces), most):
-                moves = [m for m in itertools.product(range(-most, most + 1), repeat=most) if sum(map(abs, m)) <= most and sum(m) == delta]
-                for runs in sorted({_runs(gone, pieces, m) for m in moves}):
-                    parts = [F.substring(line, starts[a] + 1 + shift, starts[b] - starts[a]) for a, b, shift in runs]
-                    key = F.when(_inside(short, low, high), F.xxhash64(F.lit(",".join(map(str, gone))), short, *parts))
-                    (probes if delta or any(shift for _, _, shift in runs) else own).append(key)
-    return own, probes
-
-
-def _entries(own: list[Column], probes: list[Column]) -> Column:
-    """One row (h, own) of each key that is not null."""
-    parts = [F.struct(h.alias("h"), F.lit(i < len(own)).alias("own")) for i, h in enumerate([*own, *probes])]
-    return F.explode(F.filter(F.array(*parts), lambda e: e.h.isNotNull()))
+    most = most_edits(threshold)
+    shorter = [n - d for d in range(most + 1)]
+    fits = [(m >= 1) & (allowed(m, threshold) >= d) for d, m in enumerate(shorter)]
+    classes = F.array_distinct(F.array(*[F.when(ok, F.struct(class_of(m).alias("low"), allowed(m, threshold).alias("t"))) for ok, m in zip(fits, shorter, strict=True)]))
+    # (segment, edits allowed, places it may move, place to read, read from the right)
+    slots = [(i, t, w, shift, i > t - i) for t in sorted({t for _, t in steps_of(threshold)}) for i in range(t + 1) for w in [min(i, t - i)] for shift in range(w + 1)]
+    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("i", "t", "w", "shift", "right"), s, strict=True)]) for s in slots])
+
+    def key(c: Column, s: Column) -> Column:
+        size = F.floor(c.low / (c.t + 1)).cast("int")
+        left = s.i * size + s.shift
+        right = n - (c.t - s.i) * size - s.shift - (size - s.w)
+        part = F.substring(line, F.when(s.right, right).otherwise(left) + 1, size - s.w)
+        h = F.xxhash64(s.i, c.low, c.t, part)
+        return h.bitwiseAND(F.lit(-2)).bitwiseOR(F.when(s["shift"] == 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))
+
+    return F.flatten(F.transform(F.filter(classes, lambda c: c.isNotNull()), lambda c: F.transform(F.filter(table, lambda s: s.t == c.t), lambda s: key(c, s))))
+
+
+def bound(value: Column, f) -> Column:
+    """f(value), where value is worked out once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def band_state(x: Column, y: Column, edits: int) -> Column:
+    """State of a banded bit-parallel comparison of two texts, after all of x. A word of 2 * edits + 1 bits, one for each diagonal of the band, stands for each number of errors."""
+    band = 2 * edits + 1
+    full = (1 << band) - 1
+    if band * (edits + 1) > 63:
+        raise ValueError("at most 4 edits")
+
+    def equal(ys: Column, c: Column, i: Column) -> Column:
+        bit = lambda d: F.when(F.get(ys, i + d) == c, F.lit(1 << d)).otherwise(F.lit(0))
+        return reduce(Column.bitwiseOR, [bit(d) for d in range(band)]).cast("long")
+
+    def step(state: Column, match: Column) -> Column:
+        word = lambda e: F.shiftright(state, band * e).bitwiseAND(F.lit(full))
+        new = [word(0).bitwiseAND(match)]
+        for e in range(1, edits + 1):
+            same, low = word(e).bitwiseAND(match), word(e - 1)
+            new.append(same.bitwiseOR(low).bitwiseOR(F.shiftright(low, 1)).bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(F.lit(full)))
+        return reduce(Column.bitwiseOR, [F.shiftleft(w, band * e) for e, w in enumerate(new)])
+
+    pad = F.array_repeat(F.lit(""), edits)
+    start = sum(((1 << e + 1) - 1 << edits) << band * e for e in range(edits + 1))
+    matches = bound(F.concat(pad, F.split(y, ""), pad), lambda ys: F.transform(F.split(x, ""), lambda c, i: equal(ys, c, i)))
+    return F.aggregate(matches, F.lit(start).cast("long"), step)
+
+
+def edits_between(x: Column, y: Column, edits: int) -> Column:
+    """The number of edits between two texts that are not empty; null beyond `edits`."""
+    more = F.length(y) - F.length(x)
+    bit = lambda state, e: F.call_function("shiftright", state, (more + edits + (2 * edits + 1) * e).cast("int")).bitwiseAND(F.lit(1))
+    return F.when(F.abs(more) <= edits, bound(band_state(x, y, edits), lambda state: F.coalesce(*[F.when(bit(state, e) == 1, F.lit(e)) for e in range(edits + 1)])))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: Threshold) -> DataFrame:
-    """The pairs (x, y) whose lines are within the threshold."""
-    one = pairs.join(texts.select(F.col("key").alias("x"), F.col("line").alias("lx")), "x")
-    both = one.join(texts.select(F.col("key").alias("y"), F.col("line").alias("ly")), "y")
-    edits = F.levenshtein("lx", "ly", max(t for _, _, t in steps_of(threshold)))
-    return both.where((edits >= 0) & (edits <= allowed(F.least(F.length("lx"), F.length("ly")), threshold))).select("x", "y")
+    """The pairs (x, y) of line names, both structs, whose lines are within the threshold."""
+    most = most_edits(threshold)
+    if not most:
+        return pairs.limit(0)
+    named_ = texts.select(F.struct(*KEY).alias("key"), "line")
+    both = pairs.join(named_.withColumnRenamed("line", "lx").withColumnRenamed("key", "x"), "x").join(named_.withColumnRenamed("line", "ly").withColumnRenamed("key", "y"), "y")
+    most_here = allowed(F.least(F.length("lx"), F.length("ly")), threshold)
+    good = F.abs(F.length("lx") - F.length("ly")) <= most_here
+    for flip in (lambda c: c, F.reverse):  # most candidates differ near one of their ends
+        good = good & (band_state(F.substring(flip(F.col("lx")), 1, END_SIGNS), F.substring(flip(F.col("ly")), 1, END_SIGNS + most), most) != 0)
+    return both.where(good & (edits_between(F.col("lx"), F.col("ly"), most) <= most_here)).select("x", "y")
+
+
+def _first_gaps(lines: DataFrame, threshold: Threshold) -> DataFrame:
+    """Lines (a, b, label, line) once for each length that a line near them and not longer may have: h, own and the one gap that is the whole line."""
+    n = F.length("line").cast("int")
+    gap = lambda m: F.array(F.struct(F.lit(0).alias("lo"), n.alias("hi"), m.alias("len"), allowed(m, threshold).alias("edits")))
+    starts = [F.when((n - d >= 1) & (allowed(n - d, threshold) >= F.greatest(F.lit(1), F.lit(d))), F.struct(F.xxhash64(n - d).alias("h"), F.lit(d == 0).alias("own"), gap(n - d).alias("gaps"))) for d in range(most_edits(threshold) + 1)]
+    some = lines.select(*KEY, "label", "line", F.explode(F.filter(F.array(*starts), lambda s: s.isNotNull())).alias("s"))
+    return some.select(*KEY, "label", "line", "s.h", "s.own", "s.gaps")
+
+
+def _pieces(line: Column, h: Column, gap: Column, rest: Column) -> Column:
+    """Children of a state by the pieces of the gap that hold its first and its last edit; with two edits or more in different pieces, what lies between may have moved."""
+    combos = [(i, j, s) for i in range(PIECES) for j in range(i, PIECES) for s in ((0,) if i == j else (0, -1, 1))]
+    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("ijs", c, strict=True)]) for c in combos])
+    at = lambda k: F.floor(gap["len"] * k / PIECES).cast("int")
+    part = lambda lo, hi: F.substring(line, lo + 1, F.greatest(hi - lo, F.lit(0)))
+    new = lambda lo, hi, size, e: F.struct(lo.alias("lo"), hi.alias("hi"), size.alias("len"), e.alias("edits"))
+
+    def child(c: Column) -> Column:
+        lo, hi = gap["lo"] + at(c.i), gap["hi"] - (gap["len"] - at(c.j + 1))
+        one, two = gap["lo"] + at(c.i + 1) + c.s, gap["lo"] + at(c.j) + c.s
+        same = c.i == c.j
+        inside = F.when(same, F.lit("")).otherwise(part(one, two))
+        key = F.xxhash64(h, c.i, c.j, part(gap["lo"], lo), inside, part(hi, gap["hi"]))
+        gaps = F.when(same, F.array(new(lo, hi, at(c.i + 1) - at(c.i), gap["edits"]))).otherwise(F.array(new(lo, one, at(c.i + 1) - at(c.i), F.lit(1)), new(two, hi, at(c.j + 1) - at(c.j), F.lit(1))))
+        return F.struct(key.alias("h"), (c.s == 0).alias("own"), F.concat(gaps, rest).alias("gaps"))
+
+    fits = lambda c: (c.i == c.j) | (gap["edits"] > 1)
+    return F.filter(F.transform(F.filter(table, fits), child), lambda s: F.forall(s["gaps"], lambda g: (g["hi"] >= g["lo"]) & (F.abs(g["hi"] - g["lo"] - g["len"]) <= g["edits"])))
+
+
+def _variants(line: Column, h: Column, gap: Column, rest: Column, most: int) -> Column:
+    """Children of a state by what is left of a short gap without up to as many code points as edits are allowed."""
+    inner = F.substring(line, gap["lo"] + 1, gap["hi"] - gap["lo"])
+    shorter = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    less = lambda many: F.array_distinct(F.concat(many, F.flatten(F.transform(F.filter(many, lambda t: F.length(t) > 0), shorter))))
+    texts = [F.array(inner)]
+    for _ in range(most):
+        texts.append(less(texts[-1]))
+    chosen = F.element_at(F.array(*texts), gap["edits"] + 1) if most > 1 else texts[1]
+    return F.transform(chosen, lambda t: F.struct(F.xxhash64(h, F.lit("left"), t).alias("h"), F.lit(True).alias("own"), rest.alias("gaps")))
+
+
+def _split(states: DataFrame, most: int) -> DataFrame:
+    """The states with their longest gap taken apart."""
+    longest = F.array_max(F.transform("gaps", lambda g, i: F.struct(g["len"].alias("len"), i.alias("i"))))
+    marked = states.withColumn("spot", longest["i"]).withColumn("gap", F.get("gaps", F.col("spot")))
+    marked = marked.withColumn("rest", F.filter("gaps", lambda g, i: i != F.col("spot"))).withColumn("h", F.xxhash64("h", "spot"))
+    args = [F.col(c) for c in ("line", "h", "gap", "rest")]
+    children = F.when(F.col("gap.len") > LAST_GAP, _pieces(*args)).otherwise(_variants(*args, most))
+    some = marked.select(*KEY, "label", "line", "own", F.explode(children).alias("s"))
+    return some.select(*KEY, "label", "line", F.col("s.h").alias("h"), (F.col("own") & F.col("s.own")).alias("own"), F.col("s.gaps").alias("gaps"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(h, n): the keys of several classes with a line's own entry, and their rows."""
+    by = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("own").alias("any"))
+    return by.where(F.col("any") & (F.col("low") != F.col("high"))).select("h", "n")
+
+
+def _against_lead(rows: DataFrame) -> DataFrame:
+    """Pairs (x, y) of the lead of each key and its other lines; rows (h, a, b, own)."""
+    first = F.struct(~F.col("own"), *KEY)
+    lead = rows.groupBy("h").agg(F.min(first).alias("lead")).select("h", F.struct("lead.a", "lead.b").alias("x"))
+    key = F.struct(*KEY)
+    return rows.select("h", key.alias("y")).join(lead, "h").where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _each_pair(rows: DataFrame) -> DataFrame:
+    """Pairs (x, y) of lines of different labels under the keys of `rows`, which hold few lines or near ones only."""
+    key = F.struct(*KEY)
+    left = rows.where("own").select("h", key.alias("x"), F.col("label").alias("lx"))
+    right = rows.select("h", key.alias("y"), F.col("label").alias("ly"))
+    return left.join(right, "h").where(F.col("lx") != F.col("ly")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with the label of their line: the line itself where it has no link."""
+    known = labels.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), F.col("label").alias("__label"))
+    return rows.drop("label").join(known, KEY, "left").withColumn("label", F.coalesce("__label", F.struct(*KEY))).drop("__label")
+
+
+def similar_lines(shared: DataFrame, texts: DataFrame, threshold: Threshold) -> DataFrame:
+    """Links (x, y) that join all lines within the threshold; shared has the rows (h, a, b, own) of the segment keys of several lines."""
+    most = most_edits(threshold)
+    found = [cut(_verified(_against_lead(shared), texts, threshold))]
+    every = lambda: reduce(DataFrame.union, found)
+    if not most:
+        return every()
+    rows = cut(_labelled(shared, components(every())))
+    rows = cut(rows.join(_mixed(rows), "h"))
+    found.append(cut(_verified(_each_pair(rows.where(F.col("n") <= FEW_LINES)), texts, threshold)))
+    states = _first_gaps(rows.where(F.col("n") > FEW_LINES).select(*KEY, "label").distinct().join(texts, KEY), threshold)
+    while True:
+        states = cut(_split(states, most).distinct())
+        states = cut(states.join(_mixed(states), "h"))
+        last, hot = F.size("gaps") == 0, (F.size("gaps") > 0) & (F.col("n") > FEW_LINES)
+        n, n_last, n_hot = states.agg(F.count("*"), F.count_if(last), F.count_if(hot)).first()
+        if n > n_last + n_hot:
+            found.append(cut(_verified(_each_pair(states.where(~last & ~hot)), texts, threshold)))
+        if n_last:  # near lines only: most of them are joined by the lead
+            found.append(cut(_verified(_against_lead(states.where(last)), texts, threshold)))
+            again = cut(_labelled(states.where(last).drop("n"), components(every())))
+            found.append(cut(_verified(_each_pair(again.join(_mixed(again), "h", "left_semi")), texts, threshold)))
+        if not n_hot:
+            return every()
+        states = states.where(hot).drop("n")
 
 
 def line_classes(docs: DataFrame, threshold: Threshold = THRESHOLD, min_chars: int = MIN_CHARS, collapse: bool = False) -> DataFrame:
     """(doc_id, line_no) of every occurrence that is not the first of its class."""
     line = F.col("line")
-    index, probe = segment_keys(line, threshold)
-    key = F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))  # a 128-bit name
-    entries = [*index, *probe]
-    occurrences = cut(exploded(docs, min_chars, collapse).select("doc_id", "line_no", key.alias("key"), *(e.alias(f"e{i}") for i, e in enumerate(entries))))
+    occurrences = cut(exploded(docs, min_chars, collapse).select("doc_id", "line_no", *named(line), segment_keys(line, threshold).alias("keys")))
     place = F.struct("doc_id", "line_no")
-    lines = cut(occurrences.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-
-    names = [F.col(f"e{i}") for i in range(len(entries))]
-    under = occurrences.select("key", _entries(names[: len(index)], names[len(index) :]).alias("e")).select("key", "e.h", "e.own")
-    several = cut(under.select("h", "key.a", "own").groupBy("h").agg(F.min("a").alias("low"), F.max("a").alias("high"), F.max("own").alias("any")).where(F.col("any") & (F.col("low") != F.col("high"))).select("h"))
-    several = F.broadcast(several) if several.count() <= BROADCAST_PLACES else several
-    shared = cut(under.join(several, "h", "left_semi").distinct())
-    shared = cut(shared.join(shared.groupBy("h").agg(F.min("key").alias("lead")), "h"))
-    star = cut(shared.where(F.col("key") != F.col("lead")).select(F.col("lead").alias("x"), F.col("key").alias("y")).distinct())
-    wanted = lines.join(shared.select("key").distinct(), "key", "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "key")
-    wanted = cut(wanted)
-    places = F.broadcast(wanted) if wanted.count() <= BROADCAST_PLACES else wanted
-    texts = cut(exploded(docs, min_chars, collapse).join(places, ["doc_id", "line_no"]).where(F.col("key.a") == F.xxhash64("line")).select("key", "line").dropDuplicates(["key"]))
-    links = cut(_verified(star, texts, threshold))
-    labels = cut(components(links))
-
-    named = lines.select("key").join(shared.select("key").distinct(), "key", "left_semi").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("key", F.coalesce("label", "key").alias("label"))
-    named = cut(named)
-    marked = shared.join(named, "key").join(named.select(F.col("key").alias("lead"), F.col("label").alias("leading")), "lead")
-    split = marked.where(F.col("label") != F.col("leading")).select("h").distinct()
-    rest = cut(marked.join(split, "h", "left_semi").select("h", "key", "own", "label"))
-    rest = rest.select("key", "label").distinct().join(texts, "key").select("key", "label", _entries(*piece_keys(line, threshold)).alias("e")).select("e.h", "key", "e.own", "label")
-    rest = cut(rest)
-    split = rest.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("h")
-    rest = cut(rest.join(split, "h", "left_semi"))
-    left = rest.where("own").select("h", F.col("key").alias("x"), F.col("label").alias("lx"))
-    right = rest.select("h", F.col("key").alias("y"), F.col("label").alias("ly"))
-    more = left.join(right, "h").where(F.col("lx") != F.col("ly")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    more = cut(_verified(more.join(star, ["x", "y"], "left_anti"), texts, threshold))
-    if more.limit(1).count():
-        labels = cut(components(links.union(more)))
-
-    known = lines.select("key", "first", "n").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").where(F.col("label").isNotNull() | (F.col("n") > 1))
-    known = known.withColumn("label", F.coalesce("label", "key"))
-    keepers = known.groupBy("label").agg(F.min("first").alias("keeper"))
-    decided = known.join(keepers, "label").select("key", "keeper")
-    return occurrences.select("doc_id", "line_no", "key").join(decided, "key").where(place != F.col("keeper")).select("doc_id", "line_no")
+    lines = cut(occurrences.groupBy(*KEY).agg(F.min("doc_id").alias("doc_id"), F.min(place).alias("first"), F.count("*").alias("n")).drop("doc_id"))
+
+    under = occurrences.select(*KEY, F.explode("keys").alias("k")).select(*KEY, F.shiftrightunsigned("k", 1).alias("h"), (F.col("k") % 2 != 0).alias("own"))
+    several = cut(under.groupBy("h").agg(F.min("a").alias("low"), F.max("a").alias("high"), F.max("own").alias("any")).where(F.col("any") & (F.col("low") != F.col("high"))).select("h"))
+    shared = cut(under.join(_small(several), "h", "left_semi").distinct())
+    wanted = cut(lines.join(_small(shared.select(*KEY).distinct()), KEY, "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")))
+    near = docs.join(_small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+    texts = exploded(near, min_chars, collapse).join(_small(wanted), ["doc_id", "line_no"], "left_semi").select(*named(line), "line")
+    texts = cut(texts.join(shared.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY))
+    labels = cut(components(similar_lines(shared, texts, threshold)).select("node.a", "node.b", "label"))
+
+    first = F.col("first")
+    linked = lines.join(labels, KEY).select(*KEY, "label", "first")
+    keepers = linked.groupBy("label").agg(F.min(first).alias("keeper"))
+    alone = lines.where("n > 1").join(labels.select(*KEY), KEY, "left_anti").select(*KEY, first.alias("keeper"))
+    decided = cut(linked.join(keepers, "label").select(*KEY, "keeper").union(alone))
+    return occurrences.select("doc_id", "line_no", *KEY).join(decided, KEY).where(place != F.col("keeper")).select("doc_id", "line_no")
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast where they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def dedup_lines(docs: DataFrame, threshold: Threshold = THRESHOLD, min_chars: int = MIN_CHARS, dropped: str | None = None, collapse: bool = False) -> DataFrame:
     """docs with the repeated lines taken out of their text; `dropped` names an extra column for the dropped line numbers."""
     gone = line_classes(docs.select("doc_id", "text"), threshold, min_chars, collapse).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("__gone"))
     gone = gone.withColumnRenamed("doc_id", "__doc")
-    out = docs.join(gone, docs["doc_id"] == gone["__doc"], "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    out = docs.join(gone, docs["doc_id"] == gone["__doc"], "left").withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split("text", "\n")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("__lines"), i)), "\n"))
     columns = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
     if dropped:
         columns.append(F.coalesce("__gone", F.array().cast("array<int>")).alias(dropped))

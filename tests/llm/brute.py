@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 DATA = "/root/testdata"
 
@@ -97,16 +97,21 @@ def edit_distance(a: str, b: str) -> int:
     return row[-1]
 
 
-def dropped_lines(rows, threshold: int = 1, min_chars: int = 60) -> dict[int, list[int]]:
-    """Line numbers that go, per doc_id."""
+def edits_allowed(length: int, threshold) -> int:
+    steps = ((0, threshold),) if isinstance(threshold, int) else threshold
+    return max((t for low, t in steps if length >= low), default=0)
+
+
+def dropped_lines(rows, threshold=2, min_chars: int = 10, collapse: bool = True) -> dict[int, list[int]]:
+    """Line numbers that go, per doc_id; white space inside a line is folded if `collapse`."""
     places = defaultdict(list)
     for doc, text in rows:
         if doc is not None and text is not None:
             for i, raw in enumerate(text.split("\n")):
-                line = raw.strip(" ")
+                line = (re.sub(r"[ \t\x0B\f\r]+", " ", raw) if collapse else raw).strip(" ")
                 if len(line) >= min_chars:
                     places[line].append((doc, i))
-    lines = sorted(places)
+    lines = sorted(places, key=len)
     up = {x: x for x in lines}
 
     def root(x):
@@ -115,8 +120,12 @@ def dropped_lines(rows, threshold: int = 1, min_chars: int = 60) -> dict[int, li
         return x
 
     for i, a in enumerate(lines):
+        most = edits_allowed(len(a), threshold)
         for b in lines[i + 1 :]:
-            if abs(len(a) - len(b)) <= threshold and edit_distance(a, b) <= threshold:
+            if len(b) - len(a) > most:
+                break
+            # a pair within the threshold has at most 2 * threshold signs more on one side than on the other
+            if not sum(((Counter(a) - Counter(b)) + (Counter(b) - Counter(a))).values()) > 2 * most and edit_distance(a, b) <= most:
                 up[root(a)] = root(b)
     classes = defaultdict(list)
     for x in lines:

@@ -189,7 +189,10 @@ def dropped(df, **options):
 
 def test_lines_equal_brute_force(spark):
     docs = read(spark, SF, "documents")
-    assert dropped(docs) == brute.dropped_lines(texts_of(spark))
+    rows_ = texts_of(spark)
+    assert dropped(docs) == brute.dropped_lines(rows_, 1, 60, collapse=False)
+    job = {"threshold": line_dedup.JOB_STEPS, "min_chars": line_dedup.JOB_CHARS}
+    assert dropped(docs, collapse=True, **job) == brute.dropped_lines(rows_, **job)
 
 
 @pytest.mark.parametrize("threshold", [1, 2])
@@ -207,13 +210,61 @@ def test_near_lines(spark, threshold):
     rng.shuffle(lines)
     rows_ = [(i, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(24)]
     df = spark.createDataFrame(rows_, "doc_id long, text string")
-    assert dropped(df, threshold=threshold, min_chars=20) == brute.dropped_lines(rows_, threshold, 20)
+    assert dropped(df, threshold=threshold, min_chars=20) == brute.dropped_lines(rows_, threshold, 20, collapse=False)
+
+
+def test_bit_parallel_edits(spark):
+    rng = random.Random(1)
+    cases = []
+    for _ in range(1500):
+        x = "".join(rng.choice("abé") for _ in range(rng.randint(3, 9)))
+        y = list(x)
+        for _ in range(rng.randint(0, 4)):
+            k, how = rng.randrange(len(y) + 1), rng.randrange(3)
+            y[k : k + (how != 1)] = [rng.choice("abé")] * (how != 0)
+        cases.append((x, "".join(y) or "a"))
+    for most in (1, 2, 3):
+        got = spark.createDataFrame(cases, "x string, y string").select("x", "y", line_dedup.edits_between(F.col("x"), F.col("y"), most).alias("e")).collect()
+        assert all(r["e"] == (d if (d := brute.edit_distance(r["x"], r["y"])) <= most else None) for r in got)
+
+
+def test_lines_of_one_template(spark, monkeypatch):
+    """Lines that differ in a number inside a long common text: few candidates, and all links."""
+    rng = random.Random(4)
+    numbers = rng.sample(range(10**6), 1200)
+    rows_ = [(i, f"2024-01-01 12:00:00 INFO worker finished the request number {x:06d} in the usual time and without any warning") for i, x in enumerate(numbers)]
+    seen = []
+    verified = line_dedup._verified
+
+    def counted(pairs_, texts, threshold):
+        seen.append(pairs_.count())
+        return verified(pairs_, texts, threshold)
+
+    monkeypatch.setattr(line_dedup, "_verified", counted)
+    got = dropped(spark.createDataFrame(rows_, "doc_id long, text string"), threshold=2, min_chars=10)
+    up = list(range(len(numbers)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    at = defaultdict(list)  # numbers of one length within two edits share what is left without two digits
+    for i, x in enumerate(numbers):
+        for cut in itertools.combinations(range(6), 4):
+            at["".join(f"{x:06d}"[k] for k in cut)].append(i)
+    for group in at.values():
+        for i, j in itertools.combinations(group, 2):
+            if root(i) != root(j) and brute.edit_distance(f"{numbers[i]:06d}", f"{numbers[j]:06d}") <= 2:
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    assert set(got) == {i for i in range(len(numbers)) if root(i) != i}
+    assert sum(seen) < 40 * len(numbers)
 
 
 def test_lines_defined_cases(spark, odd, empty):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
-    assert dropped(odd) == brute.dropped_lines(pairs(odd))
+    assert dropped(odd) == brute.dropped_lines(pairs(odd), 1, 60, collapse=False)
     kept = {r["doc_id"]: r["text"] for r in out.where("doc_id in (3, 4)").collect()}
     assert kept == {3: None, 4: ""}
     nulls = out.where("doc_id is null").collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from plumbline.llm import line_dedup
 from plumbline.llm.common import read
 
 from . import brute
@@ -28,7 +29,7 @@ def test_stages(spark, tmp_path):
             gone = {d for d, _ in before} - set(after)
             assert len(good & gone) <= 0.03 * len(good) and len(bad & gone) >= 0.6 * len(bad)
         elif name == "line_dedup":
-            gone = brute.dropped_lines(before)
+            gone = brute.dropped_lines(before, line_dedup.JOB_STEPS, line_dedup.JOB_CHARS)
             assert after == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in set(gone.get(d, ()))) for d, t in before}
             assert all(r["n_chars"] == len(r["text"]) for r in out.collect())
         elif name == "near_duplicates":
