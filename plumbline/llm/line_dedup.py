@@ -44,8 +44,9 @@ BROADCAST_ROWS = 200_000
 FEW_LINES = 16
 #: Pieces into which a gap is split, and the length from which its deletion neighbourhood is taken instead.
 PIECES, LAST_GAP = 3, 8
-#: Code points at either end that are compared first.
-END_SIGNS = 24
+
+#: Signs whose counts rule out most candidates before they are compared; any set of signs gives the same result.
+SIGNS = "aeionrstdhlu0123456789"
 
 KEY = ["a", "b"]
 Threshold = int | tuple[tuple[int, int], ...]
@@ -90,26 +91,28 @@ def class_of(length: Column) -> Column:
     return length - length % width
 
 
-def segment_keys(line: Column, threshold: Threshold) -> Column:
-    """The line's segment keys; the last bit tells a segment of the line (1) from a probe (0)."""
-    n = F.length(line).cast("int")
+def segment_keys(lines: DataFrame, threshold: Threshold) -> DataFrame:
+    """lines with `keys`, the segment keys of `line`; the last bit tells a segment of the line (1) from a probe (0)."""
+    n = F.length("line").cast("int")
     most = most_edits(threshold)
-    shorter = [n - d for d in range(most + 1)]
-    fits = [(m >= 1) & (allowed(m, threshold) >= d) for d, m in enumerate(shorter)]
-    classes = F.array_distinct(F.array(*[F.when(ok, F.struct(class_of(m).alias("low"), allowed(m, threshold).alias("t"))) for ok, m in zip(fits, shorter, strict=True)]))
-    # (segment, edits allowed, places it may move, place to read, read from the right)
-    slots = [(i, t, w, shift, i > t - i) for t in sorted({t for _, t in steps_of(threshold)}) for i in range(t + 1) for w in [min(i, t - i)] for shift in range(w + 1)]
-    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("i", "t", "w", "shift", "right"), s, strict=True)]) for s in slots])
-
-    def key(c: Column, s: Column) -> Column:
-        size = F.floor(c.low / (c.t + 1)).cast("int")
-        left = s.i * size + s.shift
-        right = n - (c.t - s.i) * size - s.shift - (size - s.w)
-        part = F.substring(line, F.when(s.right, right).otherwise(left) + 1, size - s.w)
-        h = F.xxhash64(s.i, c.low, c.t, part)
-        return h.bitwiseAND(F.lit(-2)).bitwiseOR(F.when(s["shift"] == 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))
-
-    return F.flatten(F.transform(F.filter(classes, lambda c: c.isNotNull()), lambda c: F.transform(F.filter(table, lambda s: s.t == c.t), lambda s: key(c, s))))
+    # the classes of the lengths that a line near this one and not longer may have
+    lines = lines.select("*", n.alias("__n"), *[f(n - d).alias(f"__{c}{d}") for d in range(most + 1) for c, f in (("low", class_of), ("t", lambda m: allowed(m, threshold)))])
+    keys = []
+    for d in range(most + 1):
+        low, t = F.col(f"__low{d}"), F.col(f"__t{d}")
+        fits = (F.col("__n") > d) & (t >= d)
+        if d:
+            fits = fits & ((low != F.col(f"__low{d - 1}")) | (t != F.col(f"__t{d - 1}")))
+        for edits in sorted({e for _, e in steps_of(threshold)}):
+            size = F.floor(low / (edits + 1)).cast("int")
+            for i in range(edits + 1):
+                moves = min(i, edits - i)
+                for shift in range(moves + 1):
+                    from_right = F.col("__n") - (edits - i) * size - shift - (size - moves)
+                    at = from_right if i > edits - i else i * size + shift
+                    h = F.xxhash64(F.lit(i), low, t, F.substring("line", at + 1, size - moves))
+                    keys.append(F.when(fits & (t == edits), h.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(int(shift == 0)).cast("long"))))
+    return lines.withColumn("keys", F.array_compact(F.array(*keys))).drop(*[c for c in lines.columns if c.startswith("__")])
 
 
 def bound(value: Column, f) -> Column:
@@ -142,11 +145,33 @@ def band_state(x: Column, y: Column, edits: int) -> Column:
     return F.aggregate(matches, F.lit(start).cast("long"), step)
 
 
+def common_start(x: Column, y: Column, most: int = 1 << 20) -> Column:
+    """The number of code points (up to 2 * most - 1) that two texts have in common at their start, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in range(most.bit_length() - 1, -1, -1)])
+    room = F.least(F.length(x), F.length(y))
+    return F.aggregate(F.filter(steps, lambda h: h <= room), F.lit(0), lambda at, h: F.when((at + h <= room) & (F.substring(x, at + 1, h) == F.substring(y, at + 1, h)), at + h).otherwise(at))
+
+
 def edits_between(x: Column, y: Column, edits: int) -> Column:
-    """The number of edits between two texts that are not empty; null beyond `edits`."""
+    """The number of edits between two texts; null beyond `edits`. What they have in common at both ends is left out of the comparison."""
     more = F.length(y) - F.length(x)
     bit = lambda state, e: F.call_function("shiftright", state, (more + edits + (2 * edits + 1) * e).cast("int")).bitwiseAND(F.lit(1))
-    return F.when(F.abs(more) <= edits, bound(band_state(x, y, edits), lambda state: F.coalesce(*[F.when(bit(state, e) == 1, F.lit(e)) for e in range(edits + 1)])))
+
+    def inner(c: Column) -> Column:
+        least, most = F.least(F.length(c.x), F.length(c.y)), F.greatest(F.length(c.x), F.length(c.y))
+        counted = bound(band_state(c.x, c.y, edits), lambda state: F.coalesce(*[F.when(bit(state, e) == 1, F.lit(e)) for e in range(edits + 1)]))
+        return F.when(least == 0, F.when(most <= edits, most)).otherwise(counted)
+
+    def without_end(c: Column) -> Column:
+        cut = lambda t: F.substring(t, F.lit(1), F.length(t) - c.end)
+        return bound(F.struct(cut(c.x).alias("x"), cut(c.y).alias("y")), inner)
+
+    def without_start(at: Column) -> Column:
+        rest = F.struct(F.substring(x, at + 1, F.length(x)).alias("x"), F.substring(y, at + 1, F.length(y)).alias("y"))
+        ends = lambda r: bound(F.struct(F.reverse(r.x).alias("x"), F.reverse(r.y).alias("y")), lambda back: common_start(back.x, back.y))
+        return bound(rest, lambda r: bound(F.struct(r.x.alias("x"), r.y.alias("y"), ends(r).alias("end")), without_end))
+
+    return F.when(F.abs(more) <= edits, bound(common_start(x, y), without_start))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: Threshold) -> DataFrame:
@@ -154,13 +179,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: Threshold) -> DataF
     most = most_edits(threshold)
     if not most:
         return pairs.limit(0)
-    named_ = texts.select(F.struct(*KEY).alias("key"), "line")
-    both = pairs.join(named_.withColumnRenamed("line", "lx").withColumnRenamed("key", "x"), "x").join(named_.withColumnRenamed("line", "ly").withColumnRenamed("key", "y"), "y")
-    most_here = allowed(F.least(F.length("lx"), F.length("ly")), threshold)
-    good = F.abs(F.length("lx") - F.length("ly")) <= most_here
-    for flip in (lambda c: c, F.reverse):  # most candidates differ near one of their ends
-        good = good & (band_state(F.substring(flip(F.col("lx")), 1, END_SIGNS), F.substring(flip(F.col("ly")), 1, END_SIGNS + most), most) != 0)
-    return both.where(good & (edits_between(F.col("lx"), F.col("ly"), most) <= most_here)).select("x", "y")
+    keyed = texts.select(F.struct(*KEY).alias("key"), "line", "signs")
+    both = pairs.join(keyed.withColumnsRenamed({"key": "x", "line": "lx", "signs": "sx"}), "x").join(keyed.withColumnsRenamed({"key": "y", "line": "ly", "signs": "sy"}), "y")
+    # an edit changes the counts of two signs by one
+    both = both.where(reduce(Column.__add__, [F.abs(F.col("sx")[i] - F.col("sy")[i]) for i in range(len(SIGNS))]) <= 2 * most)
+    return both.where(edits_between(F.col("lx"), F.col("ly"), most) <= allowed(F.least(F.length("lx"), F.length("ly")), threshold)).select("x", "y")
 
 
 def _first_gaps(lines: DataFrame, threshold: Threshold) -> DataFrame:
@@ -253,28 +276,31 @@ def similar_lines(shared: DataFrame, texts: DataFrame, threshold: Threshold) ->
         return every()
     rows = cut(_labelled(shared, components(every())))
     rows = cut(rows.join(_mixed(rows), "h"))
-    found.append(cut(_verified(_each_pair(rows.where(F.col("n") <= FEW_LINES)), texts, threshold)))
+    few, last = [rows.where(F.col("n") <= FEW_LINES).select("h", *KEY, "label", "own")], []
     states = _first_gaps(rows.where(F.col("n") > FEW_LINES).select(*KEY, "label").distinct().join(texts, KEY), threshold)
-    while True:
-        states = cut(_split(states, most).distinct())
+    hot = 1
+    while hot:
+        states = cut(_split(states, most))
         states = cut(states.join(_mixed(states), "h"))
-        last, hot = F.size("gaps") == 0, (F.size("gaps") > 0) & (F.col("n") > FEW_LINES)
-        n, n_last, n_hot = states.agg(F.count("*"), F.count_if(last), F.count_if(hot)).first()
-        if n > n_last + n_hot:
-            found.append(cut(_verified(_each_pair(states.where(~last & ~hot)), texts, threshold)))
-        if n_last:  # near lines only: most of them are joined by the lead
-            found.append(cut(_verified(_against_lead(states.where(last)), texts, threshold)))
-            again = cut(_labelled(states.where(last).drop("n"), components(every())))
-            found.append(cut(_verified(_each_pair(again.join(_mixed(again), "h", "left_semi")), texts, threshold)))
-        if not n_hot:
-            return every()
-        states = states.where(hot).drop("n")
+        done = F.size("gaps") == 0
+        open_ = ~done & (F.col("n") > FEW_LINES)
+        few.append(states.where(~done & ~open_).select("h", *KEY, "label", "own"))
+        last.append(states.where(done).select("h", *KEY, "label", "own"))
+        states = states.where(open_).drop("n")
+        hot = states.limit(1).count()
+    # under the last keys there are near lines only: most of them are joined by the lead, the others pair by pair
+    last = cut(reduce(DataFrame.union, last).distinct())
+    found.append(cut(_verified(_each_pair(reduce(DataFrame.union, few)).union(_against_lead(last)).distinct(), texts, threshold)))
+    if last.limit(1).count():
+        last = cut(_labelled(last, components(every())))
+        found.append(cut(_verified(_each_pair(last.join(_mixed(last), "h", "left_semi")), texts, threshold)))
+    return every()
 
 
 def line_classes(docs: DataFrame, threshold: Threshold = THRESHOLD, min_chars: int = MIN_CHARS, collapse: bool = False) -> DataFrame:
     """(doc_id, line_no) of every occurrence that is not the first of its class."""
     line = F.col("line")
-    occurrences = cut(exploded(docs, min_chars, collapse).select("doc_id", "line_no", *named(line), segment_keys(line, threshold).alias("keys")))
+    occurrences = cut(segment_keys(exploded(docs, min_chars, collapse), threshold).select("doc_id", "line_no", *named(line), "keys"))
     place = F.struct("doc_id", "line_no")
     lines = cut(occurrences.groupBy(*KEY).agg(F.min("doc_id").alias("doc_id"), F.min(place).alias("first"), F.count("*").alias("n")).drop("doc_id"))
 
@@ -284,7 +310,7 @@ def line_classes(docs: DataFrame, threshold: Threshold = THRESHOLD, min_chars: i
     wanted = cut(lines.join(_small(shared.select(*KEY).distinct()), KEY, "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")))
     near = docs.join(_small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
     texts = exploded(near, min_chars, collapse).join(_small(wanted), ["doc_id", "line_no"], "left_semi").select(*named(line), "line")
-    texts = cut(texts.join(shared.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY))
+    texts = cut(texts.join(shared.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY).withColumn("signs", F.array(*[F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in SIGNS])))
     labels = cut(components(similar_lines(shared, texts, threshold)).select("node.a", "node.b", "label"))
 
     first = F.col("first")
