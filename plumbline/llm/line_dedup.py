@@ -43,7 +43,7 @@ BROADCAST_ROWS = 200_000
 #: A key of several classes with more lines is split further.
 FEW_LINES = 16
 #: Pieces into which a gap is split, and the length from which its deletion neighbourhood is taken instead.
-PIECES, LAST_GAP = 3, 8
+PIECES, LAST_GAP = 4, 8
 
 #: Signs whose counts rule out most candidates before they are compared; any set of signs gives the same result.
 SIGNS = "aeionrstdhlu0123456789"
@@ -240,9 +240,10 @@ def _split(states: DataFrame, most: int) -> DataFrame:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """(h, n): the keys of several classes with a line's own entry, and their rows."""
-    by = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("own").alias("any"))
-    return by.where(F.col("any") & (F.col("low") != F.col("high"))).select("h", "n")
+    """(h, n, open): the keys of several classes with a line's own entry, their rows, and whether they have gaps left."""
+    gaps = F.max(F.size("gaps") > 0) if "gaps" in rows.columns else F.lit(False)
+    by = rows.groupBy("h").agg(F.count("*").alias("n"), gaps.alias("open"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("own").alias("any"))
+    return by.where(F.col("any") & (F.col("low") != F.col("high"))).select("h", "n", "open")
 
 
 def _against_lead(rows: DataFrame) -> DataFrame:
@@ -275,19 +276,18 @@ def similar_lines(shared: DataFrame, texts: DataFrame, threshold: Threshold) ->
     if not most:
         return every()
     rows = cut(_labelled(shared, components(every())))
-    rows = cut(rows.join(_mixed(rows), "h"))
-    few, last = [rows.where(F.col("n") <= FEW_LINES).select("h", *KEY, "label", "own")], []
-    states = _first_gaps(rows.where(F.col("n") > FEW_LINES).select(*KEY, "label").distinct().join(texts, KEY), threshold)
+    mixed = cut(_mixed(rows))
+    under = lambda rows, keys: rows.join(keys.select("h"), "h", "left_semi")
+    few, last = [under(rows, mixed.where(F.col("n") <= FEW_LINES)).select("h", *KEY, "label", "own")], []
+    states = _first_gaps(under(rows, mixed.where(F.col("n") > FEW_LINES)).select(*KEY, "label").distinct().join(texts, KEY), threshold)
     hot = 1
     while hot:
         states = cut(_split(states, most))
-        states = cut(states.join(_mixed(states), "h"))
-        done = F.size("gaps") == 0
-        open_ = ~done & (F.col("n") > FEW_LINES)
-        few.append(states.where(~done & ~open_).select("h", *KEY, "label", "own"))
-        last.append(states.where(done).select("h", *KEY, "label", "own"))
-        states = states.where(open_).drop("n")
-        hot = states.limit(1).count()
+        mixed, done = cut(_mixed(states)), F.size("gaps") == 0
+        few.append(under(states.where(~done), mixed.where(F.col("n") <= FEW_LINES)).select("h", *KEY, "label", "own"))
+        last.append(under(states.where(done), mixed).select("h", *KEY, "label", "own"))
+        many = mixed.where(F.col("open") & (F.col("n") > FEW_LINES))
+        states, hot = under(states, many), many.limit(1).count()
     # under the last keys there are near lines only: most of them are joined by the lead, the others pair by pair
     last = cut(reduce(DataFrame.union, last).distinct())
     found.append(cut(_verified(_each_pair(reduce(DataFrame.union, few)).union(_against_lead(last)).distinct(), texts, threshold)))
