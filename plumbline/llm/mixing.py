@@ -8,7 +8,8 @@ pass the longest prefix, in that epoch's seeded order, that stays within the bud
 The prefix of a hot leaf is found in two levels: token sums per slice of the hash order, then single rows only in the
 slice where the budget ends. Tokens are runs of code points that are not ASCII white space. Null domain, language or source
 are nodes of their own (named by an empty string); texts without tokens (null or empty) and null ids take no part; rows that
-repeat an id are read each; ties in the hash go by id and then by text digest. Missing weights count as 1, weights below 0 as 0.
+repeat an id are read each; ties in the hash go by id and then by text digest. Missing weights count as 1, weights below 0 as 0; a node of weight 0 gets nothing and
+its tokens are no capacity of its ancestors, so what they cannot use goes to others. The result is a reading plan (ids, epochs, places), without texts.
 """
 
 from __future__ import annotations
@@ -48,15 +49,20 @@ def leaf_budgets(leaves: DataFrame, weights: DataFrame, budget: Column, most_epo
     """(domain, lang, source, tokens, budget) from leaves (domain, lang, source, tokens) and weights (path, weight); path is `domain`, `domain/lang` or `domain/lang/source`."""
     d, l, s = LEVELS
     path = {1: F.col(d), 2: F.concat_ws("/", d, l), 3: F.concat_ws("/", d, l, s)}
-    tree = leaves.withColumn("capacity", F.col("tokens").cast("double") * most_epochs)
-    top = tree.groupBy(d).agg(F.sum("capacity").alias("capacity"))
-    mid = tree.groupBy(d, l).agg(F.sum("capacity").alias("capacity"))
+
+    def weighted(nodes: DataFrame, depth: int) -> DataFrame:
+        """Nodes with their weight; one of weight 0 can use nothing, so it adds nothing to what its ancestors can use."""
+        named = nodes.withColumn("path", path[depth]).join(weights, "path", "left").drop("path")
+        return named.withColumn("capacity", F.when(F.coalesce("weight", F.lit(1.0)) > 0, F.col("capacity")).otherwise(F.lit(0.0)))
+
+    tree = weighted(leaves.withColumn("capacity", F.col("tokens").cast("double") * most_epochs), 3)
+    mid = weighted(tree.groupBy(d, l).agg(F.sum("capacity").alias("capacity")), 2)
+    top = weighted(mid.groupBy(d).agg(F.sum("capacity").alias("capacity")), 1)
 
     def level(nodes: DataFrame, depth: int, parent: list[str], budgets: DataFrame | None) -> DataFrame:
-        child = LEVELS[depth - 1]
-        named = nodes.withColumn("path", path[depth]).withColumn("child", F.col(child)).join(weights, "path", "left")
+        named = nodes.withColumn("child", F.col(LEVELS[depth - 1]))
         named = named.withColumn("budget", budget) if budgets is None else named.join(budgets, parent)
-        return allocate(named.withColumn("all", F.lit(1)), parent or ["all"]).drop("path", "child", "weight", "budget", "all")
+        return allocate(named.withColumn("all", F.lit(1)), parent or ["all"]).drop("child", "weight", "budget", "all")
 
     one = level(top, 1, [], None).select(d, F.col("share").alias("budget"))
     two = level(mid, 2, [d], one).select(d, l, F.col("share").alias("budget"))
