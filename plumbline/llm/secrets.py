@@ -5,7 +5,7 @@ client identifier, a random-looking string, an endpoint) mean little alone: they
 interval join inside one scope (a window of code points) finds their complementary parts, that is an identifier or an
 endpoint near a secret, or an identifier near an endpoint and a secret candidate.
 
-Spans are code points, end exclusive. A null text counts as empty. Repeated rows give repeated results; a null id is
+Spans are code points, end exclusive. A null text counts as empty; an empty table gives an empty one. Repeated rows give repeated results; a null id is
 carried through. Only doc_id and text are read, so other columns cannot clash.
 """
 
@@ -31,7 +31,7 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 HEX_RUN = re.compile(r"[0-9a-f]{24,}")
-IDENTIFIER = re.compile(r"(?:access_?key(?:_?id)?|client_?id|account(?:_?id)?|user(?:_?name)?|login)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,64})", re.IGNORECASE | re.ASCII)
+IDENTIFIER = re.compile(r"(?:access_?key(?:_?id)?|client_?id|account(?:_?id)?|user(?:_?name)?|login)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
 ENDPOINT = re.compile(r"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ftp)://[^\s\"'<>]+|(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9.-]+)", re.IGNORECASE | re.ASCII)
 #: The linear-time prefilters: a text without a match has none of the above.
