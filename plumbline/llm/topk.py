@@ -7,7 +7,7 @@ that are still needed.
 
 Defined cases: vectors that are null, empty, or hold a null or non-finite component take no part; a query with fewer than k
 candidates returns all; vectors meet only vectors of their own length; rows with a null id take no part; repeated rows of
-an id are candidates each, and a query id that repeats is asked once (its first vector in component order). A candidate with the query's
+an id are candidates each, vectors of a squared length of 2^61 or more (after scaling) take no part, as their scores need not fit a long; and a query id that repeats is asked once (its first vector in component order). A candidate with the query's
 own id is never returned. Only vec_id and embedding are read, so other columns cannot clash.
 """
 
@@ -17,11 +17,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 BINS = 256
+#: Components beyond this are taken as this; their vectors are left out for their length anyway.
+MOST = 1e15
 RESULT = "query_id long, rank int, vec_id long, score long"
 
 
@@ -30,7 +33,12 @@ def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
     x = F.col("embedding")
     fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = vectors.where(F.col("vec_id").isNotNull() & fine)
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(F.lit(scale) * c.cast("double")).cast("double")).alias("v"))
+    whole = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(F.lit(scale) * F.greatest(F.lit(-MOST), F.least(F.lit(MOST), c.cast("double")))).cast("double")).alias("v"))
+    return whole.where(_square(F.col("v")) < 2.0**61)
+
+
+def _square(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
 
 
 def _matrix(batch: pa.RecordBatch, d: int, kind) -> np.ndarray:
@@ -47,7 +55,8 @@ def _scores(batches, queries: tuple[np.ndarray, np.ndarray], kind, rows: int = 1
         m = _matrix(batch, q.shape[1], kind)
         for lo in range(0, len(own), rows):
             part = own[lo : lo + rows]
-            yield np.rint(m[lo : lo + rows] @ q.T).astype(np.int64), part[:, None] == ids[None, :], part
+            s = m[lo : lo + rows] @ q.T
+            yield s if kind is np.int64 else np.rint(s).astype(np.int64), part[:, None] == ids[None, :], part
 
 
 def _search_block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, low: int, high: int, k: int, kind) -> DataFrame:
@@ -122,12 +131,14 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int =
     sizes = asked.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()
     for d, n in sorted((r["d"], r["n"]) for r in sizes):
         own = table.where(F.size("v") == d)
-        norm = lambda df: df.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
+        norm = lambda df: df.agg(F.max(_square(F.col("v")))).first()[0] or 0.0
         mine = asked.where(F.size("v") == d)
-        reach = int(np.ceil(np.sqrt((norm(own) or 0.0) * (norm(mine) or 0.0)))) + 1
-        kind = np.float32 if (norm(own) or 0.0) < 1 << 23 and (norm(mine) or 0.0) < 1 << 23 else np.float64  # partial sums stay exact
+        most, mine_most = norm(own), norm(mine)
+        reach = int(np.ceil(np.sqrt(most * mine_most))) + 1
+        # the first kind in which all partial sums stay exact
+        kind = np.float32 if max(most, mine_most) < 1 << 23 else np.float64 if reach < 1 << 52 else np.int64
         cuts = -(-n // block)
-        numbered = mine.persist(StorageLevel.DISK_ONLY) if cuts > 1 else mine
+        numbered = cut(mine) if cuts > 1 else mine
         for c in range(cuts):
             rows = (numbered.where(F.pmod(F.xxhash64("vec_id"), F.lit(cuts)) == c) if cuts > 1 else numbered).orderBy("vec_id").toArrow()  # one block
             if rows.num_rows:
