@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, WordHasher, lean, padded, raw_text, slices, string_batch, words
+from .common import LOWER, NOT_SPACE, WordHasher, cut, lean, padded, raw_text, slices, string_batch, words
 
 N_BASE = 17
 
@@ -134,8 +134,13 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score",
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of a bounded sample: of each label the `per_label` ids lowest by hash, every row of them up to that number."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
+    # a share of each label by hash that holds enough ids, so that the ranking sees few more than are taken
+    marks, span = cut(marks), 1 << 30
+    count = {r[0]: r[1] for r in marks.groupBy("label").count().collect()}
+    share = lambda y: int(span * min(1.0, (1.2 * per_label + 400) / max(1, count.get(y, 0))))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("spot", "doc_id"))
-    marks = marks.withColumn("spot", F.xxhash64("doc_id", F.lit(29))).withColumn("r", rank).where(F.col("r") <= per_label).select("doc_id", "label")
+    marks = marks.withColumn("spot", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(span))).where(F.col("spot") <= F.when(F.col("label") == 1, share(1)).otherwise(share(0)))
+    marks = marks.withColumn("r", rank).where(F.col("r") <= per_label).select("doc_id", "label")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id")  # at most 2 * per_label rows of 12 bytes
     width = N_BASE * 2
 
