@@ -143,8 +143,9 @@ def code_lengths(model: ContextTrees, array: pa.Array) -> np.ndarray:
 
 
 def sample(docs: DataFrame, per_language: int = 400, most_bytes: int = 1 << 16, most_languages: int = 256) -> dict[str, list[str]]:
-    """A bounded labelled sample: for each language (the `most_languages` most frequent) the `per_language` rows lowest by a hash of the id, of at most `most_bytes` each."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= most_bytes))
+    """A bounded labelled sample: for each language (the `most_languages` most frequent) the `per_language` rows lowest by a hash of the id; of a longer text than `most_bytes` the fit sees a part of that size."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.select("lang", "doc_id", F.when(F.octet_length("text") > most_bytes, F.substring("text", 1, most_bytes // 4)).otherwise(F.col("text")).alias("text"))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not counts:
         return {}
