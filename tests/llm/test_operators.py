@@ -318,6 +318,23 @@ def test_weak_parts_need_their_complement(spark):
     assert [x.split(":")[0] for x in got[0].split(",")] == ["identifier", "candidate", "endpoint"] and got[1:] == ["", "", ""]
 
 
+def test_linked_parts_equal_all_pairs(spark, empty):
+    rng = random.Random(8)
+    parts = ["client_id=robot-7", "user: " + "u" * 100, "https://api.example.com/v1", "host=db.example.com", "Ab3dEf6hIj9kLm2nOp5qRs8t", "password=abcdef123", "AKIA" + "Q7" * 9, "0123456789abcdef" * 2, "plain words"]
+    for _ in range(60):
+        text = "".join(rng.choice(parts) + " " * rng.choice([1, 90, 260, 400]) for _ in range(rng.randint(1, 6)))
+        base = secrets.base_spans(text)
+        spans = lambda p: [m.span() for m in p.finditer(text)]  # noqa: B023, E731
+        near = lambda a, many: any(a[0] - 300 <= e and s <= a[1] + 300 for s, e in many)
+        strong, access = [(s, e) for s, k, e in base if k != 1], [(s, e) for s, k, e in base if k == 1]
+        ids, ends = spans(secrets.IDENTIFIER), spans(secrets.ENDPOINT)
+        weak = [a for a in spans(secrets.CANDIDATE) if re.search("[0-9]", text[slice(*a)]) and re.search("[A-Za-z]", text[slice(*a)]) and secrets.entropy(text[slice(*a)]) >= 3.5 and not any(s < a[1] and a[0] < e for s, _, e in base)]
+        want = [(s, 4, e) for s, e in weak if near((s, e), ids + access) or near((s, e), ends)] + [(s, 3, e) for s, e in ids if near((s, e), strong + weak)]
+        want += [(s, 5, e) for s, e in ends if near((s, e), strong) or (near((s, e), weak) and near((s, e), ids + access))]
+        assert sorted(secrets.linked_spans(text, base, 300)) == sorted(want if ids or ends or access else [])
+    assert secrets.scan(empty).count() == 0
+
+
 # 6 Jaccard join -------------------------------------------------------------------------------------
 
 
@@ -439,6 +456,36 @@ def test_surrogates_keep_type_and_coreference(spark):
     assert surrogates.collisions(surrogates.entity_table(df, b"k")).count() == 0
 
 
+def test_entities_of_further_kinds():
+    import time
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    cases = {
+        "Contact Robert Smith and Jennifer Lee about Wang Wei today": ["Robert", "Smith", "Jennifer", "Lee", "Wang", "Wei"],
+        "Mr Robert Smith left. Later Smith's brother came": ["Robert", "Smith", "Smith"],
+        "Mrs. Anna Mueller spoke; Mueller agreed": ["Anna", "Mueller", "Mueller"],
+        "Herr\u00a0Müller": ["Müller"],
+        "call 020 7946 0958 or 555.123.4567": ["020 7946 0958", "555.123.4567"],
+        "number 123-45-6789 and 2001:db8::8a2e:370:7334 here": ["123-45-6789", "2001:db8::8a2e:370:7334"],
+        "pay GB82 WEST 1234 5698 7654 32 now": ["GB82 WEST 1234 5698 7654 32"],
+        "a.b@c.example+d@e.example": ["a.b@c.example", "+d@e.example"],
+        "The old New York Times, version 1.2.3.4.5 of 12:30:45": [],
+    }
+    names = surrogates.Surrogates(b"k")
+    for text, want in cases.items():
+        found = surrogates.entities(text)
+        assert [text[s:e] for s, e, _ in found] == want, text
+        new = surrogates.replaced(text, found, names)
+        assert not want or all(w not in new for w in want if len(w) > 3)
+        assert not want or pc.match_substring_regex(pa.array([text]), surrogates.HINT)[0].as_py()
+    iban = surrogates.replaced("GB82 WEST 1234 5698 7654 32", [(0, 27, "iban")], names)
+    assert surrogates.is_iban(iban) and iban.startswith("GB") and iban.count(" ") == 5
+    began = time.perf_counter()
+    assert surrogates.entities("x" * 1_000_000) == [] and time.perf_counter() - began < 1
+
+
 def test_surrogates_of_the_corpus(spark, odd, empty):
     for r in queries.op8_pii_surrogates(spark, SF).where("n_email + n_card + n_phone > 0").join(read(spark, SF, "documents").select("doc_id", F.col("text").alias("old")), "doc_id").collect():
         for s, e in (map(int, x.split(":")[1:]) for x in r["spans"].split(",")):
@@ -464,6 +511,21 @@ def test_topk_equals_brute_force(spark, block):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("size", [1e4, 3e6, 1e7, 1e10])
+def test_topk_of_large_components(spark, size):
+    rng = np.random.RandomState(5)
+    data = [(i, [float(x) for x in rng.randint(-9, 10, 3) * size / 9]) for i in range(60)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.exact_topk(df, df.where("vec_id % 20 = 0")).select("query_id", "rank", "vec_id", "score").collect())
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in data}
+    whole = {i: v for i, v in whole.items() if sum(float(x) ** 2 for x in v) < 2.0**61}
+    want = []
+    for q in (i for i in whole if i % 20 == 0):
+        near = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), j) for j, v in whole.items() if j != q)[:20]
+        want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(near)]
+    assert got == sorted(want)
+
+
 def test_topk_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.exact_topk(df, df).count() == 0
@@ -492,7 +554,7 @@ def plain_budgets(leaves, weights, budget, epochs):
         return got
 
     w = lambda *path: weights.get("/".join(path), 1.0)
-    cap = lambda *p: sum(n * epochs for k, n in leaves.items() if k[: len(p)] == p)
+    cap = lambda *p: sum(n * epochs for k, n in leaves.items() if k[: len(p)] == p and all(w(*k[:j]) > 0 for j in range(len(p) + 1, 4)))
     out = {}
     top = divide({d: (w(d), cap(d)) for d in {k[0] for k in leaves}}, budget)
     for d, b in top.items():
@@ -515,6 +577,12 @@ def test_budgets_equal_step_by_step_filling(spark, seed):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
 
 
+def test_weight_zero_is_no_capacity(spark):
+    df = spark.createDataFrame([("d0", "en", "a", 1000), ("d0", "en", "b", 10), ("d1", "en", "a", 1000)], "domain string, lang string, source string, tokens long")
+    got = {r["domain"] + r["source"]: r["budget"] for r in mixing.leaf_budgets(df, queries.weights_table(spark, {"d0/en/a": 0.0}), F.lit(800.0), 1).collect()}
+    assert got == pytest.approx({"d0a": 0.0, "d0b": 10.0, "d1a": 790.0})
+
+
 def test_prefixes_of_seeded_epochs(spark):
     docs = read(spark, SF, "documents")
     got = queries.op10_mixing(spark, SF).collect()
