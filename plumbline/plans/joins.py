@@ -56,16 +56,12 @@ def jn_theta_name(t: Tables) -> DataFrame:
     return J.short_name_match(t.customer.withColumnRenamed("c_nationkey", "nation"), short, ["nation"], "c_name", "short_name").select("c_custkey", "short_name", "n")
 
 
-FACTS = "(SELECT o_custkey AS k, o_totalprice AS v, o_orderdate::DATE AS valid_from, o_orderdate::DATE + INTERVAL 200 DAY AS valid_until FROM orders WHERE o_orderkey % 2 = 0)"
+FACTS = "(SELECT o_custkey AS k, o_totalprice AS v, o_orderdate::DATE AS valid_from, o_orderdate::DATE + INTERVAL 200 DAY AS valid_until FROM orders)"
 
 
-#: The queries *_all take every row; the ones without keep the row filters of their reference SQL.
-ALL_FACTS = "(SELECT o_custkey AS k, o_totalprice AS v, o_orderdate::DATE AS valid_from, o_orderdate::DATE + INTERVAL 200 DAY AS valid_until FROM orders)"
-
-
-def facts(t: Tables, rows: str = "o_orderkey % 2 = 0") -> DataFrame:
+def facts(t: Tables) -> DataFrame:
     day = F.to_date("o_orderdate")
-    return t.orders.where(rows).select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), day.alias("valid_from"), F.date_add(day, 200).alias("valid_until"))
+    return t.orders.select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), day.alias("valid_from"), F.date_add(day, 200).alias("valid_until"))
 
 
 @query(f"SELECT c_custkey AS k, v, valid_from FROM customer LEFT JOIN {FACTS} f ON c_custkey = f.k AND valid_from <= DATE '1998-09-01' AND valid_until > DATE '1998-09-01'")
@@ -73,9 +69,9 @@ def jn_asof_pit(t: Tables) -> DataFrame:
     return J.point_in_time(t.customer.select(F.col("c_custkey").alias("k")), facts(t), ["k"], F.lit("1998-09-01").cast("date")).select("k", "v", "valid_from")
 
 
-@query(f"SELECT c_custkey AS k, v, valid_from FROM customer LEFT JOIN {ALL_FACTS} f ON c_custkey = f.k AND valid_from <= DATE '1998-09-01' AND valid_until > DATE '1998-09-01'")
+@query(f"SELECT c_custkey AS k, v, valid_from FROM customer LEFT JOIN {FACTS} f ON c_custkey = f.k AND valid_from <= DATE '1998-09-01' AND valid_until > DATE '1998-09-01'")
 def jn_asof_pit_all(t: Tables) -> DataFrame:
-    return J.point_in_time(t.customer.select(F.col("c_custkey").alias("k")), facts(t, "true"), ["k"], F.lit("1998-09-01").cast("date")).select("k", "v", "valid_from")
+    return J.point_in_time(t.customer.select(F.col("c_custkey").alias("k")), facts(t), ["k"], F.lit("1998-09-01").cast("date")).select("k", "v", "valid_from")
 
 
 @query(f"SELECT c_custkey AS k, y.year, v FROM customer CROSS JOIN (VALUES (1996), (1999)) y(year) LEFT JOIN {FACTS} f ON c_custkey = f.k AND valid_from <= make_date(y.year, 9, 1) AND valid_until > make_date(y.year, 9, 1)")
@@ -84,10 +80,10 @@ def jn_asof_diagonal(t: Tables) -> DataFrame:
     return J.point_in_time(spine, facts(t), ["k"], "at").select("k", "year", "v")
 
 
-@query(f"SELECT c_custkey AS k, y.year, v FROM customer CROSS JOIN (VALUES (1996), (1999)) y(year) LEFT JOIN {ALL_FACTS} f ON c_custkey = f.k AND valid_from <= make_date(y.year, 9, 1) AND valid_until > make_date(y.year, 9, 1)")
+@query(f"SELECT c_custkey AS k, y.year, v FROM customer CROSS JOIN (VALUES (1996), (1999)) y(year) LEFT JOIN {FACTS} f ON c_custkey = f.k AND valid_from <= make_date(y.year, 9, 1) AND valid_until > make_date(y.year, 9, 1)")
 def jn_asof_diagonal_all(t: Tables) -> DataFrame:
     spine = t.customer.select(F.col("c_custkey").alias("k"), F.explode(F.array(F.lit(1996), F.lit(1999))).alias("year")).withColumn("at", F.make_date("year", F.lit(9), F.lit(1)))
-    return J.point_in_time(spine, facts(t, "true"), ["k"], "at").select("k", "year", "v")
+    return J.point_in_time(spine, facts(t), ["k"], "at").select("k", "year", "v")
 
 
 @query("""SELECT user_id, anchor_event_id, event_event_id, rank FROM (SELECT a.user_id, a.event_id AS anchor_event_id, e.event_id AS event_event_id, row_number() OVER (PARTITION BY a.user_id, a.event_id ORDER BY e.ts, e.event_id)::INT AS rank
@@ -124,21 +120,27 @@ def jn_fuzzy_best(t: Tables) -> DataFrame:
     return J.best_match(left, right, ["nation"], "s_name", "c_name", "s_suppkey", ratio, 0.6).select("s_suppkey", "c_name", F.round("score", 4).alias("score"))
 
 
-def prefix5(t: Tables, rows: str) -> DataFrame:
-    keys = t.customer.where(rows).select(F.concat_ws("_", F.lit("p"), "c_name", "c_nationkey", F.lit("1999")).alias("key"))
-    parsed = keys.withColumn("nation", F.regexp_extract("key", r"_(\d+)_\d{4}$", 1).cast("int"))
-    right = t.customer.select(F.col("c_nationkey").alias("nation"), "c_custkey", F.substring("c_name", 1, 12).alias("prefix"))
-    return parsed.join(right, "nation").where(F.contains("key", "prefix")).groupBy("key").agg(F.min("c_custkey").alias("c_custkey"))
+def prefix5(t: Tables) -> DataFrame:
+    """The first customer of the key's nation whose 12-sign prefix the key contains: an equi-join on every part of the key that is as long as a prefix."""
+    keys = t.customer.select(F.concat_ws("_", F.lit("p"), "c_name", "c_nationkey", F.lit("1999")).alias("key"))
+    prefixes = t.customer.groupBy(F.col("c_nationkey").alias("nation"), F.substring("c_name", 1, 12).alias("prefix")).agg(F.min("c_custkey").alias("c_custkey"))
+    sizes = F.array(*[F.lit(r[0]) for r in prefixes.select(F.length("prefix")).distinct().collect()] or [F.lit(12)])  # 13 lengths at most
+    parts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - n + 1, F.lit(1))), lambda i: F.substring("key", i, n))
+    parsed = keys.withColumn("nation", F.regexp_extract("key", r"_(\d+)_\d{4}$", 1).cast("int")).withColumn("prefix", F.explode(F.array_distinct(F.flatten(F.transform(sizes, parts)))))
+    return parsed.join(prefixes, ["nation", "prefix"]).groupBy("key").agg(F.min("c_custkey").alias("c_custkey"))
+
+
+PREFIX5 = "SELECT key, MIN(c.c_custkey) AS c_custkey FROM (SELECT 'p_' || c_name || '_' || c_nationkey || '_1999' AS key, c_nationkey AS nation FROM customer) k JOIN customer c ON c.c_nationkey = k.nation AND contains(k.key, substring(c.c_name, 1, 12)) GROUP BY key"
 
 
-@query("SELECT key, c_custkey FROM (SELECT 'p_' || c_name || '_' || c_nationkey || '_1999' AS key, c_nationkey AS nation, substring(c_name, 1, 12) AS prefix FROM customer WHERE c_custkey % 10 = 0) k JOIN LATERAL (SELECT MIN(c_custkey) AS c_custkey FROM customer c WHERE c.c_nationkey = k.nation AND contains(k.key, substring(c.c_name, 1, 12))) ON TRUE WHERE c_custkey IS NOT NULL")
+@query(PREFIX5)
 def jn_prefix5(t: Tables) -> DataFrame:
-    return prefix5(t, "c_custkey % 10 = 0")
+    return prefix5(t)
 
 
-@query("SELECT key, MIN(c.c_custkey) AS c_custkey FROM (SELECT 'p_' || c_name || '_' || c_nationkey || '_1999' AS key, c_nationkey AS nation FROM customer) k JOIN customer c ON c.c_nationkey = k.nation AND contains(k.key, substring(c.c_name, 1, 12)) GROUP BY key")
+@query(PREFIX5)
 def jn_prefix5_all(t: Tables) -> DataFrame:
-    return prefix5(t, "true")
+    return prefix5(t)
 
 
 @query("SELECT doc_id, MIN(n_nationkey)::INT AS nation FROM documents JOIN nation ON contains(lower(text), lower(substring(n_name, 1, 3))) GROUP BY 1")

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plumbline.functions import chunks, numbers, scoring, sqlguard, strings, valuation
+from plumbline.functions import chunks, claims, numbers, scoring, sqlguard, strings, valuation
 from plumbline.functions.similarity import similarity
 from plumbline.operators import ledger, quality, telemetry
 from plumbline.operators.featurestore import lag_features, matrix
@@ -135,3 +135,19 @@ def test_fixed_timezone_hash(spark):
     import hashlib
 
     assert got == [hashlib.sha256(b"2024-01-01T00:00:00.000005Z|u|a|x").hexdigest()]
+
+
+def test_thresholds_of_claims(spark):
+    said = {
+        "Smith gets at least 1,200 yards": (">=", 1200.0), "a minimum 40 sacks": (">=", 40.0), "over 12 wins": (">", 12.0), "greater than 9 games": (">", 9.0), "more than 1,000": (">", 1000.0),
+        "40+ touchdowns": (">=", 40.0), "10 or more picks": (">=", 10.0), "fewer than 3": ("<", 3.0), "stays under 90": ("<", 90.0), "at most 8": ("<=", 8.0), "no more than 8": ("<=", 8.0), "exactly 17": ("==", 17.0),
+        "throws 45 touchdowns": (">=", 45.0), "Smith, the best, has 30": (">=", 30.0), "no number": None,
+    }
+    got = one(spark, claims.threshold(F.col("c")), *said, schema="c string")
+    assert [tuple(x) if x else None for x in got] == list(said.values())
+
+
+def test_draft_phrases(spark):
+    said = {"drafted 39th overall": 39, "drafted #7": 7, "No. 12 pick": 12, "#3 overall": 3, "the 4 overall choice": 4, "first overall": 1, "pick #9": 9, "goes at pick 20": 20, "wears #12 in 2024": None, "a top-10 pick": None}
+    assert one(spark, claims.pick_number(F.col("c")), *said, schema="c string") == list(said.values())
+    assert one(spark, claims.draft_round(F.col("c")), "round 12", "a second-round talent", "nothing", schema="c string") == [12, 2, None]
