@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter, defaultdict
+
 import corpus_pipeline
-from plumbline.llm import line_dedup
+from plumbline.llm import line_dedup, queries
 from plumbline.llm.common import read
 
 from . import brute
+from .test_operators import plain_budgets
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,13 +42,27 @@ def test_stages(spark, tmp_path):
             items = [(r[0], r[1]) for r in read(spark, SF, "benchmark").select("item_id", "text").collect()]
             assert set(after) == {x[0] for x in brute.contamination(before, items) if not x[5]}
         else:
-            assert out.count() > 0 and {r["doc_id"] for r in out.collect()} <= {d for d, _ in before}
+            tokens = {d: len(re.findall(r"[^ \t\n\x0B\f\r]+", t or "")) for d, t in before}
+            leaf = {r["doc_id"]: (r["d"], r["lang"], r["source"]) for r in docs.withColumn("d", queries.domain()).collect()}
+            sizes, read_ = Counter(), defaultdict(set)
+            for d, n in tokens.items():
+                sizes[leaf[d]] += n
+            for r in out.collect():
+                assert r["n_tokens"] == tokens[r["doc_id"]]
+                read_[leaf[r["doc_id"]], r["epoch"]].add(r["doc_id"])
+            budgets = plain_budgets(dict(sizes), queries.WEIGHTS, sum(sizes.values()) * 0.9, 4)
+            for place, n in sizes.items():
+                whole = min(4, int((budgets[place] + 1e-6) // n))
+                members = {d for d, n_ in tokens.items() if leaf[d] == place and n_}
+                assert all(read_[place, e] == members for e in range(whole))
+                part = read_[place, whole]
+                assert part <= members and sum(tokens[d] for d in part) <= budgets[place] - whole * n + 1e-5
         docs = out
 
 
 def test_empty_table(spark):
     docs = read(spark, SF, "documents").limit(0)
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
         if "text" not in docs.columns:
