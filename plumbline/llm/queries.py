@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language_id, line_dedup, mixing, ppm_score, quality, secrets, surrogates, topk
+from . import decontaminate, jaccard, language_id, likelihood_rules, line_dedup, mixing, ppm_score, quality, runs, secrets, surrogates, topk, vector_codes
 from .common import crc_mod, read
 
 
@@ -82,5 +82,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, domain(), weights_table(spark, WEIGHTS), share=0.5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_ppm_score, op3_line_dedup, op4_decontamination, op5_secret_scan, op6_jaccard_join, op7_quality_rank, op8_pii_surrogates, op9_exact_topk, op10_mixing)}
+def op11_likelihood_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return likelihood_rules.judge(docs, likelihood_rules.fit_rule(docs, read(spark, sf_dir, "labels")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_ppm_score, op3_line_dedup, op4_decontamination, op5_secret_scan, op6_jaccard_join, op7_quality_rank, op8_pii_surrogates, op9_exact_topk, op10_mixing, op11_likelihood_rules, op12_vector_codes, op13_periodic_runs)}
 ORACLES: dict[str, str] = {}
