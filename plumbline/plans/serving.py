@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.sqlguard import run_select
+from plumbline.session import scratch
 
 from .base import Tables, both, query
 from .windows import both_tails
@@ -80,3 +81,62 @@ def stm_sessions(t: Tables) -> DataFrame:
 
     got = feeds.drained(feeds.sessions(feeds.source(t.spark, f"{t.sf_dir}/events.parquet", t.events.schema), "6 hours"), "complete", "user_id long, start timestamp, n long")
     return got.groupBy("user_id").agg(F.count("*").alias("sessions"))
+
+
+# a work queue, rate limits and late rows: state across triggers -------------------------------------
+
+MAIL = "[a-z0-9_.]+@[a-z0-9_.]+[a-z]"
+
+
+@query(f"SELECT sha256(text) AS content_hash, CASE WHEN len(m) > 0 THEN 'done' ELSE 'open' END AS status, len(m)::BIGINT AS n, COALESCE(list_min(m), '') AS first FROM (SELECT text, regexp_extract_all(text, '{MAIL}') AS m FROM (SELECT DISTINCT text FROM documents WHERE length(text) > 50))")
+def stm_work_queue(t: Tables) -> DataFrame:
+    """Contacts out of articles by a work queue in three triggers, the last of them repeated; articles without any stay open."""
+    from plumbline.streaming import numbered, workqueue
+
+    root = scratch(t.spark)
+    docs = t.documents.where(F.length("text") > 50).select(F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), "text", "doc_id")
+
+    def work(items: DataFrame) -> DataFrame:
+        found = F.regexp_extract_all("text", F.lit(f"({MAIL})"), F.lit(1))
+        return items.select("content_hash", F.explode(found).alias("mail")).withColumn("error", F.lit(None).cast("string"))
+
+    item = docs.select("content_hash", "text").schema
+    queue = workqueue.WorkQueue(t.spark, f"{root}/queue", "content_hash", item, "mail string", work)
+    run = lambda stream: numbered.run_once(stream, queue.step, f"{root}/state")
+    numbered.in_arrivals((docs.where(F.col("doc_id") % 3 == k).drop("doc_id") for k in range(3)), f"{root}/in", run)
+    numbered.uncommit(t.spark, f"{root}/state", 2)
+    run(numbered.folder_stream(t.spark, f"{root}/in", item))
+    done = queue.results().groupBy("content_hash").agg(F.count("*").alias("n"), F.min("mail").alias("first")).withColumn("status", F.lit("done"))
+    left = queue.waiting().select("content_hash", F.lit(0).cast("long").alias("n"), F.lit("").alias("first"), F.lit("open").alias("status"))
+    return done.unionByName(left)
+
+
+RATES = {"free": 1, "pro": 2}
+
+
+@query("""SELECT user_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE hits > CASE WHEN user_id % 2 = 0 THEN 1 ELSE 2 END) AS refused
+FROM (SELECT user_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS hits FROM events) GROUP BY 1""")
+def stm_rate_limit(t: Tables) -> DataFrame:
+    """Requests beyond the limit of their user's tier in the last 60 seconds, refused ones counted, over three arrivals."""
+    from plumbline.streaming import numbered, ratelimit
+
+    root = scratch(t.spark)
+    events = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.when(F.col("user_id") % 2 == 0, "free").otherwise("pro").alias("tier"))
+    third = F.least(F.lit(2), F.floor((F.dayofmonth("ts") - 1) / 10))
+    said = numbered.Numbered(t.spark, f"{root}/said", "user_id long, event_id long, allowed boolean")
+    limited = lambda stream: ratelimit.decisions(stream, "user_id", "event_id", "ts", "tier", RATES, 60, count_refused=True)
+    numbered.in_arrivals((events.where(third == k) for k in range(3)), f"{root}/in", lambda stream: numbered.run_once(limited(stream), said.write, f"{root}/state"))
+    return said.all().groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(~F.col("allowed")).alias("refused"))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, event_type AS kind, COUNT(*) AS n, ROUND(SUM(value), 2) AS total FROM events GROUP BY 1, 2")
+def stm_late_days(t: Tables) -> DataFrame:
+    """Daily totals of a feed that arrives out of order, a seventh of it twice."""
+    from plumbline.streaming import latedays, numbered
+
+    root = scratch(t.spark)
+    days = latedays.DailyTotals(t.spark, f"{root}/totals", "event_id", "long", "ts", "event_type", "value")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    arrivals = (t.events.where((part == k) | ((part == 0) & (F.lit(k) > 0) & (F.col("event_id") % 7 == 0))) for k in range(3))
+    numbered.in_arrivals(arrivals, f"{root}/in", lambda stream: numbered.run_once(stream, days.step, f"{root}/state"))
+    return days.totals().select("day", "kind", "n", F.round("total", 2).alias("total"))
