@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import mean_rank_share, running_totals, with_ranks
+
 
 def quartile_by_index(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str, median: str) -> DataFrame:
     """The sorted group's element number int(n * q), without interpolation, beside the interpolated median. The element is found by its rank, so no group is gathered in one row."""
@@ -51,9 +53,9 @@ def null_rates(df: DataFrame) -> DataFrame:
 
 
 def cumulative_share(totals: DataFrame, value: str, tiebreak: Sequence[str]) -> DataFrame:
-    """Running share of a (small, aggregated) table from the largest value on."""
-    running = F.sum(value).over(Window.orderBy(F.desc(value), *tiebreak).rowsBetween(Window.unboundedPreceding, 0))
-    return totals.withColumn("share", running / F.sum(value).over(Window.partitionBy()))
+    """Running share of a table from the largest value on."""
+    sums = running_totals(totals, [], [F.desc(value), *tiebreak], {"__v": F.col(value)})
+    return sums.select(*totals.columns, ((F.col("__v_before") + F.col(value)) / F.col("__v_total")).alias("share"))
 
 
 def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:
@@ -65,11 +67,8 @@ def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:
 
 
 def rank_pct(df: DataFrame, value: str) -> DataFrame:
-    """Average rank of ties over the number of rows, from counts per value: only the different values go through one window."""
-    counts = df.groupBy(value).agg(F.count("*").alias("__n"))
-    below = F.sum("__n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    pct = (F.coalesce(below, F.lit(0)) + (F.col("__n") + 1) / 2.0) / F.sum("__n").over(Window.partitionBy())
-    return df.join(counts.select(value, pct.alias("pct")), value)
+    """Average rank of ties over the number of rows, from counts per value."""
+    return with_ranks(df, [], value, pct=mean_rank_share())
 
 
 def top_factors(factors: Column, k: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import aggregates as A
+from plumbline.operators.ranks import quantiles
 
 from .base import Tables, both, query
 
@@ -13,7 +14,13 @@ both("agg_basic", "SELECT CAST(year(o_orderdate) AS INT) AS year, ROUND(SUM(o_to
 both("agg_count_distinct", "SELECT CAST(year(o_orderdate) AS INT) AS year, COUNT(DISTINCT o_custkey) AS customers FROM {orders} GROUP BY CAST(year(o_orderdate) AS INT)")
 both("agg_stddev_pop", "SELECT o_orderstatus, ROUND(STDDEV_POP(o_totalprice), 4) AS spread FROM {orders} GROUP BY o_orderstatus")
 both("agg_stddev_samp", "SELECT o_orderstatus, ROUND(STDDEV_SAMP(o_totalprice), 4) AS spread FROM {orders} GROUP BY o_orderstatus")
-both("agg_percentile_cont", "SELECT CAST(year(o_orderdate) AS INT) AS year, ROUND(percentile_cont(0.75) WITHIN GROUP (ORDER BY o_totalprice), 2) AS p75, ROUND(percentile_cont(0.9) WITHIN GROUP (ORDER BY o_totalprice), 2) AS p90, ROUND(percentile_cont(0.95) WITHIN GROUP (ORDER BY o_totalprice), 2) AS p95 FROM {orders} GROUP BY CAST(year(o_orderdate) AS INT)")
+
+
+@query("SELECT CAST(year(o_orderdate) AS INT) AS year, ROUND(percentile_cont(0.75) WITHIN GROUP (ORDER BY o_totalprice), 2) AS p75, ROUND(percentile_cont(0.9) WITHIN GROUP (ORDER BY o_totalprice), 2) AS p90, ROUND(percentile_cont(0.95) WITHIN GROUP (ORDER BY o_totalprice), 2) AS p95 FROM orders GROUP BY CAST(year(o_orderdate) AS INT)")
+def agg_percentile_cont(t: Tables) -> DataFrame:
+    rows = t.orders.select(F.year("o_orderdate").alias("year"), "o_totalprice")
+    got = quantiles(rows, ["year"], "o_totalprice", {"p75": 0.75, "p90": 0.9, "p95": 0.95})
+    return got.select("year", *(F.round(c, 2).alias(c) for c in ("p75", "p90", "p95")))
 
 
 @query("SELECT c_mktsegment, list_sort(list(c_acctbal))[(COUNT(*) * 0.25)::INT + CASE WHEN (COUNT(*) * 0.25)::INT > COUNT(*) * 0.25 THEN 0 ELSE 1 END] AS q1, ROUND(median(c_acctbal), 4) AS mid FROM customer GROUP BY 1")

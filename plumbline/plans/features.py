@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import featurestore as S
-from plumbline.operators import ml
+from plumbline.operators import backtest, forest, lasso, ml
+from plumbline.operators.ranks import two_samples
 from plumbline.operators.windows import gap, trailing_without_current
 
 from .base import Tables, both, query
@@ -121,6 +122,60 @@ def ml_align(t: Tables) -> DataFrame:
     return ml.predictions(x, {"p_size": 2.0, "absent": 5.0}, 1.0).select(F.col("p_partkey").cast("long").alias("p_partkey"), F.round("prediction", 4).alias("prediction"))
 
 
+DRIFT = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+SIDES = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS v, l_shipdate < TIMESTAMP '1997-01-01' AS early FROM lineitem" for c in DRIFT)
+
+
+@query(f"""SELECT feature, ROUND(d, 6) AS statistic, ROUND(p, 6) AS p_value, p < 0.01 AS drifted, d IS NOT NULL AND p >= 0.01 AS passed FROM
+(SELECT feature, d, CASE WHEN d * d * n1 * n2 / (n1 + n2) < 0.04 THEN 1.0 ELSE GREATEST(0.0, LEAST(1.0, list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * k * k * d * d * n1 * n2 / (n1 + n2)))))) END AS p FROM
+(SELECT feature, MAX(abs(a / n1 - b / n2)) AS d, MAX(n1) AS n1, MAX(n2) AS n2 FROM (SELECT feature, SUM(x) OVER (PARTITION BY feature ORDER BY v)::DOUBLE AS a, SUM(y) OVER (PARTITION BY feature ORDER BY v)::DOUBLE AS b, SUM(x) OVER (PARTITION BY feature)::DOUBLE AS n1, SUM(y) OVER (PARTITION BY feature)::DOUBLE AS n2
+FROM (SELECT feature, v, COUNT(*) FILTER (WHERE early) AS x, COUNT(*) FILTER (WHERE NOT early) AS y FROM ({SIDES}) GROUP BY 1, 2)) GROUP BY 1))""")
+def ml_drift_gate(t: Tables) -> DataFrame:
+    """Drift of the model's inputs between the years of training and those after: the test of both samples against the 0.01 gate, all features in one pass."""
+    sides = t.lineitem.select((F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp")).alias("early"), F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in DRIFT))).alias("f")).select("early", "f.*")
+    d = two_samples(sides, ["feature"], "v", F.col("early"))
+    return d.select("feature", F.round("statistic", 6).alias("statistic"), F.round("p_value", 6).alias("p_value"), (F.col("p_value") < 0.01).alias("drifted"), (F.col("statistic").isNotNull() & (F.col("p_value") >= 0.01)).alias("passed"))
+
+
+def order_features(t: Tables) -> DataFrame:
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"))
+    return t.orders.select("o_orderkey", "o_totalprice").join(lines, "o_orderkey", "left")
+
+
+@query()
+def ml_isolation_forest(t: Tables) -> DataFrame:
+    """The twentieth of the orders that random cuts set apart soonest, with scores and distances from the cut."""
+    out = forest.anomalies(order_features(t), "o_orderkey", ["o_totalprice", "lines", "quantity", "discount"])
+    return out.select("o_orderkey", F.round("score", 9).alias("score"), F.round("decision", 9).alias("decision"), "flagged")
+
+
+def weekly(t: Tables) -> DataFrame:
+    """Month by month of a supplier's year: so far, and what the year came to (in thousands)."""
+    m = t.lineitem.groupBy(F.col("l_suppkey").alias("player"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("week")).agg(F.sum("l_quantity").alias("perf"), (F.sum("l_extendedprice") / 1000).alias("cap"))
+    w = Window.partitionBy("player", "year")
+    so_far = w.orderBy("week")
+    return m.select("player", "year", "week", F.sum("perf").over(so_far).alias("ytd"), F.sum("cap").over(so_far).alias("cap_ytd"), "perf", (F.sum("perf").over(w) / 100).alias("target"))
+
+
+@query()
+def ml_walk_forward_boosted(t: Tables) -> DataFrame:
+    told = backtest.predictions(weekly(t), ["player"], "year", "week", ["week", "ytd", "cap_ytd", "perf"], "target", range(1996, 2002), maxIter=8, maxDepth=3)
+    m = backtest.fold_metrics(told, ["player"], "year", "week", threshold=21.0)
+    return m.select("year", "n_train", "n_test", "n_terminal", *(F.round(c, 4).alias(c) for c in ("rmse", "r2", "f1")))
+
+
+LASSO = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_orderkey"]
+
+
+@query()
+def ml_lasso_path(t: Tables) -> DataFrame:
+    """The features that stay at the penalty with the least held-out error, and the shares of the principal components."""
+    kept = lasso.select_features(t.lineitem, LASSO, "l_extendedprice", F.struct("l_orderkey", "l_linenumber"))
+    shares = lasso.explained(t.lineitem, LASSO, "l_extendedprice", 3)
+    a = kept.select(F.col("feature").alias("name"), F.round("coefficient", 2).alias("value"), "selected")
+    return a.unionByName(shares.select(F.concat(F.lit("pc"), F.col("component").cast("string")).alias("name"), F.round("share", 4).alias("value"), F.lit(True).alias("selected")))
+
+
 @query()
 def ml_mcts(t: Tables) -> DataFrame:
     """Upper-confidence tree search over the trades of the league's candidates; the search runs on the driver by nature."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import valuation as V
+from plumbline.operators.ranks import percent_rank, quantiles, running_totals, with_ranks
 from plumbline.operators.windows import running
 
 from .base import Tables, both, query
@@ -24,13 +25,13 @@ def fct_cost_by_player(t: Tables) -> DataFrame:
     base = base.select(F.col("o_custkey").alias("player"), F.col("n_name").alias("team"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("v"))
     p = base.groupBy("player", "team", "year").agg(F.sum("v").alias("spend"))
     team = p.groupBy("team", "year").agg(F.sum("spend").alias("total"), F.count("*").alias("players"))  # a player has one team: his rows are already one per year
-    y = base.groupBy("year").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("spread"), F.percentile("v", F.array(F.lit(0.75), F.lit(0.9))).alias("q"))
+    y = base.groupBy("year").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("spread")).join(quantiles(base, ["year"], "v", {"p75": 0.75, "p90": 0.9}), "year")
     r = lambda c, n: F.round(c, n)
     j = p.join(team, ["team", "year"]).join(F.broadcast(y), "year").withColumn("spend", r("spend", 2))  # one row per year
-    w = Window.partitionBy("year")
-    return j.select(
-        "player", "team", "year", "spend", r(F.col("spend") / F.col("total") * 100, 4).alias("team_pct"), "players", r("mean", 2).alias("year_mean"), r("spread", 2).alias("year_spread"), r(F.col("q")[0], 2).alias("p75"), r(F.col("q")[1], 2).alias("p90"),
-        r(F.percent_rank().over(w.orderBy("spend")), 6).alias("pct"), F.row_number().over(w.orderBy(F.desc("spend"), "player")).alias("rank"),
+    placed = running_totals(j, ["year"], [F.desc("spend"), "player"], {"row": F.lit(1)})
+    return with_ranks(placed, ["year"], "spend", pct=percent_rank()).select(
+        "player", "team", "year", "spend", r(F.col("spend") / F.col("total") * 100, 4).alias("team_pct"), "players", r("mean", 2).alias("year_mean"), r("spread", 2).alias("year_spread"), r("p75", 2).alias("p75"), r("p90", 2).alias("p90"),
+        r("pct", 6).alias("pct"), (F.col("row_before") + 1).cast("int").alias("rank"),
     )
 
 

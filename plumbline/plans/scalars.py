@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import chunks, similarity
 from plumbline.functions import numbers as N
 from plumbline.functions import strings as S
+from plumbline.operators.ranks import two_samples
 
 from .base import Tables, both, query
 
@@ -154,17 +155,9 @@ def num_zscore_outlier(t: Tables) -> DataFrame:
 both("num_log_ols", "SELECT ROUND(REGR_SLOPE(LN(p_retailprice), CAST(p_size AS DOUBLE)), 8) AS slope, ROUND(REGR_INTERCEPT(LN(p_retailprice), CAST(p_size AS DOUBLE)), 6) AS intercept, ROUND(REGR_R2(LN(p_retailprice), CAST(p_size AS DOUBLE)), 8) AS r2 FROM {part}")
 
 
-def ks_statistic(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Largest distance of the two groups' (0 and 1) distribution functions, from counts per value."""
-    c = df.groupBy(value).agg(F.count_if(F.col(group) == 0).alias("a"), F.count_if(F.col(group) == 1).alias("b"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    return c.select(F.abs(F.sum("a").over(w) / F.sum("a").over(every) - F.sum("b").over(w) / F.sum("b").over(every)).alias("d")).agg(F.round(F.max("d"), 6).alias("d"))
-
-
 @query("SELECT ROUND(MAX(abs(a - b)), 6) AS d FROM (SELECT v, SUM(x) OVER (ORDER BY v) / SUM(x) OVER () AS a, SUM(y) OVER (ORDER BY v) / SUM(y) OVER () AS b FROM (SELECT p_size AS v, COUNT(*) FILTER (WHERE p_partkey % 2 = 0) AS x, COUNT(*) FILTER (WHERE p_partkey % 2 = 1) AS y FROM part GROUP BY 1))")
 def num_ks_test(t: Tables) -> DataFrame:
-    return ks_statistic(t.part.select((F.col("p_partkey") % 2).alias("g"), "p_size"), "g", "p_size")
+    return two_samples(t.part, [], "p_size", F.col("p_partkey") % 2 == 0).select(F.round("statistic", 6).alias("d"))
 
 
 @query("SELECT c_custkey, (c_mktsegment = 'BUILDING')::INT AS is_building, (c_mktsegment = 'MACHINERY')::INT AS is_machinery, (c_mktsegment IS NULL)::INT AS is_null FROM customer")

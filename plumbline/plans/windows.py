@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import windows as O
+from plumbline.operators.ranks import percent_rank, with_ranks
 
 from .base import Tables, both, query
 
@@ -24,7 +25,12 @@ def monthly(t: Tables) -> DataFrame:
 
 
 both("win_row_number", f"SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY {Y} ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS r FROM {{orders}}")
-both("win_percent_rank", f"SELECT o_orderkey, ROUND(percent_rank() OVER (PARTITION BY {Y} ORDER BY o_totalprice) * 100, 4) AS pct FROM {{orders}}")
+
+
+@query(f"SELECT o_orderkey, ROUND(percent_rank() OVER (PARTITION BY {Y} ORDER BY o_totalprice) * 100, 4) AS pct FROM orders")
+def win_percent_rank(t: Tables) -> DataFrame:
+    rows = t.orders.select("o_orderkey", F.year("o_orderdate").alias("year"), "o_totalprice")
+    return with_ranks(rows, ["year"], "o_totalprice", pct=percent_rank()).select("o_orderkey", F.round(F.col("pct") * 100, 4).alias("pct"))
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
