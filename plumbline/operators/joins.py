@@ -22,14 +22,31 @@ def point_in_time(spine: DataFrame, facts: DataFrame, keys: Sequence[str], as_of
     return joined.select("s.*", *(F.col(f"f.{c}") for c in facts.columns if c not in keys)).drop("__at")
 
 
-def events_after(anchors: DataFrame, events: DataFrame, key: str, anchor_ts: str, event_ts: str, event_id: str, window: Column, most: int) -> DataFrame:
-    """For each anchor the first `most` events of the same key inside (anchor, anchor + window]: one interval join instead of a query per anchor."""
-    a, e = anchors.alias("a"), events.alias("e")
-    inside = (F.col(f"a.{key}") == F.col(f"e.{key}")) & (F.col(f"e.{event_ts}") > F.col(f"a.{anchor_ts}")) & (F.col(f"e.{event_ts}") <= F.col(f"a.{anchor_ts}") + window)
-    ids = [c for c in anchors.columns if c != key]
-    joined = a.join(e, inside).select(F.col(f"a.{key}").alias(key), *(F.col(f"a.{c}").alias(f"anchor_{c}") for c in ids), *(F.col(f"e.{c}").alias(f"event_{c}") for c in events.columns if c != key))
-    rank = F.row_number().over(Window.partitionBy(key, *(f"anchor_{c}" for c in ids)).orderBy(f"event_{event_ts}", f"event_{event_id}"))
-    return joined.withColumn("rank", rank).where(F.col("rank") <= most)
+def events_after(anchors: DataFrame, events: DataFrame, key: str, anchor_ts: str, event_ts: str, event_id: str, seconds: int, most: int) -> DataFrame:
+    """For each anchor the first `most` events of the same key inside (anchor, anchor + seconds], with their rank.
+
+    Time is cut into buckets as wide as the window, so what an anchor looks for lies in its own bucket and the next one. Events are
+    numbered inside (key, bucket); an anchor counts the events of its bucket up to its own time, and then asks for numbers: those
+    right after that count, and the first ones of the next bucket for what is missing. No anchor meets more than `most` numbers,
+    however many events its key has. Rows with a null key or time take no part; anchors that repeat each get their events.
+    """
+    wide = seconds * 1_000_000
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    others = [c for c in anchors.columns if c != key]
+    a = anchors.where(F.col(key).isNotNull() & F.col(anchor_ts).isNotNull()).select(F.col(key).alias("__k"), at(anchor_ts).alias("__at"), F.struct(*others).alias("__a"), F.lit(None).cast(events.schema[event_id].dataType).alias("__id"))
+    e = events.where(F.col(key).isNotNull() & F.col(event_ts).isNotNull()).select(F.col(key).alias("__k"), at(event_ts).alias("__at"), F.lit(None).cast(a.schema["__a"].dataType).alias("__a"), F.col(event_id).alias("__id"), F.struct(*(c for c in events.columns if c != key)).alias("__e"))
+    both = e.unionByName(a.withColumn("__e", F.lit(None).cast(e.schema["__e"].dataType))).withColumn("__b", F.floor(F.col("__at") / wide))
+    bucket, is_event = Window.partitionBy("__k", "__b"), F.col("__e").isNotNull()
+    seen = F.count_if(is_event).over(bucket.orderBy("__at").rangeBetween(Window.unboundedPreceding, 0))
+    number = F.count_if(is_event).over(bucket.orderBy("__at", "__id").rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumns({"__seen": seen, "__number": number, "__n": F.count_if(is_event).over(bucket)})
+    own = F.least(F.col("__n") - F.col("__seen"), F.lit(most))
+    ask = lambda b, low, high, before: F.transform(F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>")), lambda r: F.struct(b.alias("b"), r.alias("r"), (before + r).cast("int").alias("rank")))
+    here = ask(F.col("__b"), F.col("__seen") + 1, F.col("__seen") + own, -F.col("__seen"))
+    there = ask(F.col("__b") + 1, F.lit(1).cast("long"), F.lit(most) - own, own)
+    asked = both.where(~is_event).select("__k", "__at", "__a", F.explode(F.concat(here, there)).alias("__q")).select("__k", "__at", "__a", F.col("__q.b").alias("__b"), F.col("__q.r").alias("__number"), F.col("__q.rank").alias("rank"))
+    found = asked.join(both.where(is_event).select("__k", "__b", "__number", F.col("__at").alias("__then"), F.col("__e").alias("__hit")), ["__k", "__b", "__number"]).where(F.col("__then") <= F.col("__at") + wide)
+    return found.select(F.col("__k").alias(key), *(F.col(f"__a.{c}").alias(f"anchor_{c}") for c in others), *(F.col(f"__hit.{c}").alias(f"event_{c}") for c in events.columns if c != key), "rank")
 
 
 def short_name_match(full: DataFrame, short: DataFrame, on: Sequence[str], name: str, short_name: str) -> DataFrame:
@@ -38,13 +55,6 @@ def short_name_match(full: DataFrame, short: DataFrame, on: Sequence[str], name:
     return full.join(short.withColumnsRenamed({c: f"__{c}" for c in on}), [F.col(c) == F.col(f"__{c}") for c in on] + [cond]).drop(*(f"__{c}" for c in on))
 
 
-def best_match(left: DataFrame, right: DataFrame, block: Sequence[str], left_name: str, right_name: str, left_id: str, score, least: float) -> DataFrame:
-    """The best-scoring right row for each left row inside equal blocks; ties go to the smaller right name."""
-    pairs = left.join(right, list(block)).withColumn("score", score(F.col(left_name), F.col(right_name))).where(F.col("score") >= least)
-    rank = F.row_number().over(Window.partitionBy(left_id).orderBy(F.desc("score"), right_name))
-    return pairs.withColumn("__r", rank).where("__r = 1").drop("__r")
-
-
 def full_outer_keep_first(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Full outer join on keys with missing numbers as 0."""
     return a.join(b, list(keys), "full_outer").select(*keys, *(F.coalesce(F.col(v), F.lit(0.0)).alias(v) for v in values))

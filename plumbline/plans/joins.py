@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.similarity import ratio
 from plumbline.operators import joins as J
+from plumbline.operators.fuzzy import best_match, near_names
 
 from .base import Tables, both, query
 
@@ -91,7 +92,7 @@ FROM events a JOIN events e ON a.user_id = e.user_id AND e.ts > a.ts AND e.ts <=
 def jn_interval_after(t: Tables) -> DataFrame:
     ev = t.events.select("user_id", "event_id", "ts")
     errors = t.events.where("event_type = 'error'").select("user_id", "event_id", "ts")
-    return J.events_after(errors, ev, "user_id", "ts", "ts", "event_id", F.expr("interval 1 day"), 10).select("user_id", "anchor_event_id", "event_event_id", "rank")
+    return J.events_after(errors, ev, "user_id", "ts", "ts", "event_id", 86_400, 10).select("user_id", "anchor_event_id", "event_event_id", "rank")
 
 
 @query("SELECT o_orderkey, ROUND((o_totalprice - mu) / sigma, 4) AS z FROM orders CROSS JOIN (SELECT AVG(o_totalprice) AS mu, STDDEV_SAMP(o_totalprice) AS sigma FROM orders) WHERE abs(o_totalprice - mu) > 1.5 * sigma AND sigma > 0")
@@ -117,7 +118,16 @@ def jn_left_indicator(t: Tables) -> DataFrame:
 def jn_fuzzy_best(t: Tables) -> DataFrame:
     left = t.supplier.select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_name")
     right = t.customer.select(F.col("c_nationkey").alias("nation"), "c_name")
-    return J.best_match(left, right, ["nation"], "s_name", "c_name", "s_suppkey", ratio, 0.6).select("s_suppkey", "c_name", F.round("score", 4).alias("score"))
+    return best_match(left, right, ["nation"], "s_name", "c_name", ratio, 0.6).select("s_suppkey", "c_name", F.round("score", 4).alias("score"))
+
+
+@query()
+def jn_fuzzy_names(t: Tables) -> DataFrame:
+    """The best-scoring other part of the same brand for each part, by lower-case name, from a ratio of 0.75 on."""
+    names = t.part.select("p_partkey", "p_brand", F.lower("p_name").alias("name"))
+    near = near_names(names, names, ["p_brand"], "name", "name", ratio, 0.75).where("a <> b")
+    best = near.groupBy("p_brand", F.col("a").alias("name")).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("b"))).alias("x"))
+    return names.join(best, ["p_brand", "name"]).select("p_partkey", F.col("x.b").alias("match"), F.round(-F.col("x.s"), 4).alias("score"))
 
 
 def prefix5(t: Tables) -> DataFrame:

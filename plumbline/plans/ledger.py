@@ -123,7 +123,7 @@ def acc_scan(t: Tables) -> DataFrame:
     cols = ["user_id", "event_id", "ts"]
     misses = t.events.where("event_type = 'error'").select(*cols)
     later = t.events.select(*cols, F.concat_ws(":", "event_type", "props").alias("text"))
-    found = events_after(misses, later, "user_id", "ts", "ts", "event_id", F.expr("interval 3 days"), 10)
+    found = events_after(misses, later, "user_id", "ts", "ts", "event_id", 3 * 86_400, 10)
     blob = found.groupBy(F.col("anchor_event_id").alias("event_id")).agg(F.sort_array(F.collect_list(F.struct("rank", "event_text", "event_event_id"))).alias("parts"))
     blob = blob.select("event_id", F.array_join(F.transform("parts", lambda p: F.substring(p.event_text, 1, 1000)), "---").alias("blob"), F.col("parts")[0]["event_event_id"].alias("first_id"))
     joined = misses.select("event_id").join(blob, "event_id", "left")
