@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scoring import chain_hash
+from plumbline.session import scratch
 
 
 def append_chain(rows: DataFrame, ledger: str, order: Sequence[str], own: str, seeds: DataFrame | None = None) -> DataFrame:
@@ -63,28 +65,74 @@ class _Near:
         return None
 
 
-def void_near_duplicates(rows: DataFrame, group: Sequence[str], order: Sequence[str], row_id: str, text: str, least: float = 0.65) -> DataFrame:
-    """(row_id, kept_id, ratio) of the rows to void: in order, a row goes if its text is near that of a row kept before it in the same group. The rule depends on the order, so each group is read as a stream that holds only what was kept; equal texts are decided without a comparison."""
+def _greedy(least: float):
+    """A task that reads rows of groups in order and tells for each whether it is kept (kept_id is its own, with its place among the kept) or near one kept before."""
 
     def run(frames):
-        key, near, exact = object(), _Near(least), {}
+        key, near = object(), _Near(least)
         for f in frames:
             out = []
-            for k, i, x in zip(f["__group"], f[row_id], f[text].fillna(""), strict=True):
+            for k, i, x in zip(f["__group"], f["__id"], f["__text"], strict=True):
                 if k != key:
-                    key, near, exact = k, _Near(least), {}
-                if x in exact:
-                    out.append((i, exact[x], 1.0))
-                elif hit := near.find(x):
-                    out.append((i, near.kept[hit[0]][0], hit[1]))
-                else:
+                    key, near = k, _Near(least)
+                hit = near.find(x)
+                if hit is None:
                     near.kept.append((i, x))
-                    exact[x] = i
-            yield pd.DataFrame(out, columns=[row_id, "kept_id", "ratio"])
-
-    kind = rows.schema[row_id].dataType.simpleString()
-    named = rows.withColumn("__group", F.to_json(F.struct(*group), {"ignoreNullFields": "false"}))
-    return named.repartition("__group").sortWithinPartitions("__group", *order).select("__group", row_id, text).mapInPandas(run, f"{row_id} {kind}, kept_id {kind}, ratio double")
+                    out.append((k, i, x, i, 1.0, len(near.kept)))
+                else:
+                    out.append((k, i, x, near.kept[hit[0]][0], hit[1], None))
+            yield pd.DataFrame(out, columns=["__group", "__id", "__text", "kept_id", "ratio", "__place"]).astype({"__place": "Int64"})
+
+    return run
+
+
+def void_near_duplicates(rows: DataFrame, group: Sequence[str], order: Sequence[str], row_id: str, text: str, least: float = 0.65, lead: int = 512, per_task: int = 4096) -> DataFrame:
+    """(row_id, kept_id, ratio) of the rows to void: in order, a row goes if its text is near that of a row kept before it in the same group (the first such row is kept_id).
+
+    Equal texts of a group are one. What is left goes through rounds: the first `lead` texts of each group are decided in order; those
+    kept then meet all other texts of the group at once, which are dealt to as many tasks as they need, and what is near none of them
+    goes on to the next round. A row meets the kept ones in their order, so the result is that of going through the group row by row,
+    while no task holds more than `lead` kept texts and about `per_task` others. Null texts count as empty ones.
+    """
+    spark, kind = rows.sparkSession, rows.schema[row_id].dataType.simpleString()
+    named = rows.select(F.to_json(F.struct(*group), {"ignoreNullFields": "false"}).alias("__group"), F.coalesce(text, F.lit("")).alias("__text"), F.struct(*order).alias("__order"), F.col(row_id).alias("__id"))
+    shape = f"__group string, __id {kind}, __text string, kept_id {kind}, ratio double"
+
+    def kept_file(df: DataFrame) -> DataFrame:
+        path = scratch(spark)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    named = kept_file(named)
+    alive = kept_file(named.groupBy("__group", "__text").agg(F.min(F.struct("__order", "__id")).alias("__f")).select("__group", "__text", "__f.__order", "__f.__id"))
+    place = F.row_number().over(Window.partitionBy("__group").orderBy("__order", "__id"))
+    decided = []
+    while True:
+        first = alive.withColumn("__r", place).where(F.col("__r") <= lead).drop("__r")
+        first = first.repartition("__group").sortWithinPartitions("__group", "__order", "__id").select("__group", "__id", "__text").mapInPandas(_greedy(least), f"{shape}, __place long")
+        decided.append(kept_file(first))
+        rest = alive.join(decided[-1].select("__group", "__id"), ["__group", "__id"], "left_anti")
+        if rest.isEmpty():
+            break
+        tasks = rest.groupBy("__group").agg(F.ceil(F.count("*") / per_task).alias("__tasks"))  # a row for each group that goes on
+        rest = rest.join(tasks, "__group").select("__group", "__id", "__text", F.pmod(F.xxhash64("__id", "__text"), F.col("__tasks")).alias("__task"))
+        kept = decided[-1].where("__place IS NOT NULL").join(tasks, "__group")
+        kept = kept.select("__group", "__id", "__text", "__place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__tasks") - 1)).alias("__task"))
+
+        def compare(own, others):
+            others, near = others.sort_values("__place"), _Near(least)
+            near.kept = list(zip(others["__id"], others["__text"], strict=True))
+            hits = [near.find(x) for x in own["__text"]]
+            return pd.DataFrame({"__group": own["__group"], "__id": own["__id"], "__text": own["__text"], "kept_id": pd.Series([near.kept[h[0]][0] if h else None for h in hits], own.index, object), "ratio": pd.Series([h[1] if h else None for h in hits], own.index, "float64")})
+
+        met = kept_file(rest.groupBy("__group", "__task").cogroup(kept.groupBy("__group", "__task")).applyInPandas(compare, shape))
+        decided.append(met.where("ratio IS NOT NULL AND NOT isnan(ratio)"))
+        alive = kept_file(alive.join(met.where("ratio IS NULL OR isnan(ratio)").select("__group", "__id"), ["__group", "__id"], "left_semi"))
+        if alive.isEmpty():
+            break
+    told = reduce(DataFrame.unionByName, [d.select("__group", "__text", "kept_id", "ratio") for d in decided])
+    out = named.join(told, ["__group", "__text"]).where(~F.col("__id").eqNullSafe(F.col("kept_id")))
+    return out.select(F.col("__id").alias(row_id), "kept_id", "ratio")
 
 
 def distinct_claims(rows: DataFrame, group: str, order: str, text: str, least: float = 0.75) -> DataFrame:
