@@ -7,8 +7,12 @@ that are still needed.
 
 Defined cases: vectors that are null, empty, or hold a null or non-finite component take no part; a query with fewer than k
 candidates returns all; vectors meet only vectors of their own length; rows with a null id take no part; repeated rows of
-an id are candidates each, vectors of a squared length of 2^61 or more (after scaling) take no part, as their scores need not fit a long; and a query id that repeats is asked once (its first vector in component order). A candidate with the query's
+an id are candidates each, and a query id that repeats is asked once (its first vector in component order). A candidate with the query's
 own id is never returned. Only vec_id and embedding are read, so other columns cannot clash.
+
+Scores of two vectors of a squared length below 2^61 (after scaling) fit a long. Pairs with a longer vector go another way: floating
+bounds leave few candidates of each task, these get exact scores in Python integers, and the best of both ways are merged by exact
+score. Such a score is null in the result where it does not fit a long; its rank counts.
 """
 
 from __future__ import annotations
@@ -23,18 +27,21 @@ from pyspark.sql import functions as F
 from .common import cut
 
 BINS = 256
-#: Components beyond this are taken as this; their vectors are left out for their length anyway.
-MOST = 1e15
+#: Squared length from which a score need not fit a long.
+LONG = 2.0**61
+#: Added to exact scores for sorting them as text: beyond any sum of products of doubles of up to 2^500.
+OFFSET, DIGITS = 1 << 1100, 276
 RESULT = "query_id long, rank int, vec_id long, score long"
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
-    """(vec_id, v): whole-number components of the vectors that take part."""
+    """(vec_id, v): whole-number components, as doubles, of the vectors that take part."""
     x = F.col("embedding")
     fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = vectors.where(F.col("vec_id").isNotNull() & fine)
-    whole = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(F.lit(scale) * F.greatest(F.lit(-MOST), F.least(F.lit(MOST), c.cast("double")))).cast("double")).alias("v"))
-    return whole.where(_square(F.col("v")) < 2.0**61)
+    # from 2^52 on a double is a whole number
+    whole = lambda c: F.when(F.abs(c) < 2.0**52, F.floor(c).cast("double")).otherwise(c)
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: whole(F.lit(scale) * c.cast("double"))).alias("v"))
 
 
 def _square(v: Column) -> Column:
@@ -122,28 +129,82 @@ def _search_block(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, low: int,
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _sortable(score: int) -> str:
+    return f"{score + OFFSET:0{DIGITS}x}"
+
+
+def _long_pairs(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
+    """(query_id, vec_id, place, score): the best k of each task's candidates for each query by exact score; `place` sorts as the scores do."""
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
+
+    def best(batches):
+        own_ids, own_q = shared.value
+        whole_q = [[int(x) for x in v] for v in own_q]
+        length_q = np.sqrt((own_q**2).sum(1))
+        held: list[list[tuple[int, int]]] = [[] for _ in own_ids]  # (-score, vec_id), best first
+        for batch in batches:
+            every, all_ids = _matrix(batch, own_q.shape[1], np.float64), batch.column("vec_id").to_numpy()
+            for at in range(0, len(all_ids), 256):
+                m, vec = every[at : at + 256], all_ids[at : at + 256]
+                with np.errstate(all="ignore"):  # what overflows is not left out
+                    about = own_q @ m.T
+                    off = len(own_q[0]) * 2.0**-48 * np.outer(length_q, np.sqrt((m**2).sum(1)))
+                    least = np.where(np.isnan(about - off), -np.inf, about - off)
+                    most = np.where(np.isnan(about + off), np.inf, about + off)
+                for j, own in enumerate(own_ids):
+                    other = vec != own
+                    n = int(other.sum())
+                    if not n:
+                        continue
+                    floor = np.partition(least[j][other], max(0, n - k))[max(0, n - k)]
+                    new = []
+                    for c in np.flatnonzero(other & (most[j] >= floor)):
+                        new.append((-sum(a * int(b) for a, b in zip(whole_q[j], m[c], strict=True)), int(vec[c])))
+                    held[j] = sorted(held[j] + new)[:k]
+        rows = [(int(i), v, -s) for i, own in zip(own_ids, held, strict=True) for s, v in own]
+        columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([_sortable(r[2]) for r in rows], pa.string()), pa.array([r[2] if -(1 << 63) <= r[2] < 1 << 63 else None for r in rows], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "place", "score"])
+
+    return vectors.mapInArrow(best, "query_id long, vec_id long, place string, score long")
+
+
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, block: int = 4096) -> DataFrame:
     """The k best candidates of `vectors` for each row of `queries`, both (vec_id, embedding); queries go in blocks of `block`."""
     spark = vectors.sparkSession
-    table = quantised(vectors, scale)
-    asked = quantised(queries, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
+    table = quantised(vectors, scale).withColumn("long", _square(F.col("v")) >= LONG)
+    asked = quantised(queries, scale).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("long", _square(F.col("v")) >= LONG)
     out: list[DataFrame] = []
-    sizes = asked.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()
-    for d, n in sorted((r["d"], r["n"]) for r in sizes):
+    sizes = asked.groupBy(F.size("v").alias("d"), "long").agg(F.count("*").alias("n")).collect()
+    for d in sorted({r["d"] for r in sizes}):
         own = table.where(F.size("v") == d)
-        norm = lambda df: df.agg(F.max(_square(F.col("v")))).first()[0] or 0.0
+        short, many = own.where(~F.col("long")).drop("long"), own.where("long").drop("long")
+        norm = lambda df: df.agg(F.max(F.when(~F.col("long"), _square(F.col("v")))).alias("m"), F.coalesce(F.bool_or("long"), F.lit(False)).alias("long")).first()
         mine = asked.where(F.size("v") == d)
-        most, mine_most = norm(own), norm(mine)
+        at, mine_at = norm(own), norm(mine)
+        most, mine_most = at["m"] or 0.0, mine_at["m"] or 0.0
         reach = int(np.ceil(np.sqrt(most * mine_most))) + 1
         # the first kind in which all partial sums stay exact
         kind = np.float32 if max(most, mine_most) < 1 << 23 else np.float64 if reach < 1 << 52 else np.int64
-        cuts = -(-n // block)
-        numbered = cut(mine) if cuts > 1 else mine
-        for c in range(cuts):
-            rows = (numbered.where(F.pmod(F.xxhash64("vec_id"), F.lit(cuts)) == c) if cuts > 1 else numbered).orderBy("vec_id").toArrow()  # one block
-            if rows.num_rows:
-                q = np.asarray(rows.column("v").combine_chunks().flatten(), np.float64).reshape(-1, d)
-                out.append(_search_block(own, np.asarray(rows.column("vec_id")), q, -reach, reach, k, kind))
+        for far in (False, True):
+            cuts = -(-sum(r["n"] for r in sizes if r["d"] == d and r["long"] == far) // block)
+            chosen = mine.where(F.col("long") == far).drop("long")
+            numbered = cut(chosen) if cuts > 1 else chosen
+            for c in range(cuts):
+                rows = (numbered.where(F.pmod(F.xxhash64("vec_id"), F.lit(cuts)) == c) if cuts > 1 else numbered).orderBy("vec_id").toArrow()  # one block
+                if not rows.num_rows:
+                    continue
+                q, ids = np.asarray(rows.column("v").combine_chunks().flatten(), np.float64).reshape(-1, d), np.asarray(rows.column("vec_id"))
+                if far:
+                    found = [_long_pairs(own.drop("long"), ids, q, k)]
+                else:
+                    found = [_search_block(short, ids, q, -reach, reach, k, kind)]
+                    if not at["long"]:
+                        out += found
+                        continue
+                    found = [found[0].withColumn("place", F.udf(lambda x: _sortable(x), "string")("score")).select("query_id", "vec_id", "place", "score"), _long_pairs(many, ids, q, k)]
+                rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("place"), "vec_id"))
+                merged = reduce(DataFrame.unionByName, found).withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
+                out.append(merged.select("query_id", "rank", "vec_id", "score"))
     if not out:
         return spark.createDataFrame([], RESULT)
     return reduce(DataFrame.unionByName, out)
