@@ -16,14 +16,15 @@ def _int(c: Column) -> Column:
 
 
 def pick_number(claim: Column) -> Column:
-    """`pick 7`, `drafted #7`, `No. 7`, `#7 overall`, `7th overall`, `seventh overall`; a bare `#7` is a jersey, not a pick."""
+    """`pick 7`, `drafted #7`, `No. 7 pick`, `#7 overall`, `7th overall`, `seventh overall`; a bare `#7` or `No. 7` is a jersey, not a pick."""
     low = F.lower(claim)
     word = F.create_map(*[F.lit(x) for kv in ORDINALS.items() for x in kv])[extract(low, r"\b(" + "|".join(ORDINALS) + r")\s+(?:overall|pick)")]
-    return F.coalesce(*[_int(extract(low, p)) for p in (r"(?:pick\s*#?|no\.|drafted\s*#)\s*(\d{1,3})\b", r"#\s*(\d{1,3})\s+(?:overall|pick)\b", r"\b(\d{1,3})(?:st|nd|rd|th)\s+(?:overall|pick)\b", r"\b(\d{1,3})\s+overall\b")], word)
+    return F.coalesce(*[_int(extract(low, p)) for p in (r"(?:\bpick\s*#?|drafted\s*#)\s*(\d{1,3})\b", r"(?:#|\bno\.?)\s*(\d{1,3})(?:st|nd|rd|th)?\s+(?:overall|pick)\b", r"\b(\d{1,3})(?:st|nd|rd|th)\s+(?:overall|pick)\b", r"\b(\d{1,3})\s+overall\b")], word)
 
 
 def top_n(claim: Column) -> Column:
-    return _int(extract(F.lower(claim), r"\btop[\s-](\d{1,3})\b"))
+    """`top-10 pick`; a `top-10 offense` is no draft position."""
+    return _int(extract(F.lower(claim), r"\btop[\s-](\d{1,3})\s*(?:overall\s+)?pick"))
 
 
 def draft_round(claim: Column) -> Column:

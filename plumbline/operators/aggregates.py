@@ -24,12 +24,16 @@ def pivot_first(df: DataFrame, keys: Sequence[str], name: str, names: Sequence[s
 
 
 def histogram(df: DataFrame, value: str, member: str, buckets: int) -> DataFrame:
-    """(bucket, n, members): fixed-width buckets of ceil(max / buckets), the last one takes what lies beyond; empty buckets have rows too."""
-    width = df.agg(F.ceil(F.max(value) / buckets).cast("double").alias("w"))  # one row
-    numbered = df.crossJoin(F.broadcast(width)).select(F.least(F.floor(F.col(value) / F.col("w")), F.lit(buckets - 1)).cast("int").alias("bucket"), F.col(member).alias("m"))
-    counts = numbered.groupBy("bucket").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("m")).alias("members"))
+    """(bucket, n, first_member): fixed-width buckets of ceil(max / buckets), the last one takes what lies beyond; empty buckets have rows too. The members themselves are rows of `bucketed`, as one bucket may hold most of the table."""
+    counts = bucketed(df, value, member, buckets).groupBy("bucket").agg(F.count("*").alias("n"), F.min(member).alias("first_member"))
     every = df.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    return every.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("members", F.array().cast(counts.schema["members"].dataType)).alias("members"))
+    return every.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"), "first_member")
+
+
+def bucketed(df: DataFrame, value: str, member: str, buckets: int) -> DataFrame:
+    """(bucket, member) of each row."""
+    width = df.agg(F.ceil(F.max(value) / buckets).cast("double").alias("w"))  # one row
+    return df.crossJoin(F.broadcast(width)).select(F.least(F.floor(F.col(value) / F.col("w")), F.lit(buckets - 1)).cast("int").alias("bucket"), member)
 
 
 def skew_kurt(value: str) -> tuple[Column, Column]:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,8 +33,48 @@ def enforce(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
+@dataclass(frozen=True)
+class Check:
+    """A check that one aggregate of the table decides."""
+
+    name: str
+    measure: Column
+    ok: Callable[[Column], Column]
+
+
+def passes(df: DataFrame, *checks: Check) -> DataFrame:
+    """The rows of several checks from one pass over the table."""
+    one = df.agg(*(c.measure.alias(f"c{i}") for i, c in enumerate(checks)))
+    rows = [F.struct(*result(c.name, c.ok(F.col(f"c{i}")), F.col(f"c{i}"))) for i, c in enumerate(checks)]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def at_least(least: int) -> Check:
+    return Check("row_count", F.count("*"), lambda n: n >= least)
+
+
+def range_of(column: str, low: float, high: float) -> Check:
+    return Check(f"range:{column}", F.count_if(~F.col(column).between(low, high)), lambda n: n == 0)
+
+
+def domain_of(column: str, values: Sequence) -> Check:
+    """Values outside the list; nulls are left to the null check."""
+    return Check(f"domain:{column}", F.count_if(~F.col(column).isin(*values)), lambda n: n == 0)
+
+
+def null_share(column: str, most: float) -> Check:
+    return Check(f"null_rate:{column}", F.round(F.avg(F.col(column).isNull().cast("int")), 4), lambda r: r <= most)
+
+
+def covers(column: str, expected: Sequence) -> Check:
+    """The expected values that do not occur; only expected ones are gathered."""
+    have = F.collect_set(F.when(F.col(column).isin(*expected), F.col(column)))
+    missing = F.array_sort(F.transform(F.array_except(F.array(*map(F.lit, expected)), have), lambda x: x.cast("string")))
+    return Check(f"coverage:{column}", F.array_join(missing, ","), lambda m: m == "")
+
+
 def row_count(df: DataFrame, least: int) -> DataFrame:
-    return df.agg(F.count("*").alias("n")).select(*result("row_count", F.col("n") >= least, F.col("n")))
+    return passes(df, at_least(least))
 
 
 def unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -42,26 +83,19 @@ def unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def coverage(df: DataFrame, column: str, expected: Sequence) -> DataFrame:
-    """The expected values that do not occur."""
-    want = df.sparkSession.createDataFrame([(x,) for x in expected], df.select(column).schema)
-    missing = want.join(df.select(column).distinct(), column, "left_anti").agg(F.coalesce(F.array_join(F.array_sort(F.collect_list(F.col(column).cast("string"))), ","), F.lit("")).alias("m"))
-    return missing.select(*result("coverage:" + column, F.col("m") == "", F.col("m")))
+    return passes(df, covers(column, expected))
 
 
 def in_range(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
-    n = df.agg(F.count_if(~F.col(column).between(low, high)).alias("n"))
-    return n.select(*result("range:" + column, F.col("n") == 0, F.col("n")))
+    return passes(df, range_of(column, low, high))
 
 
 def allowed(df: DataFrame, column: str, values: Sequence) -> DataFrame:
-    """Values outside the list; nulls are left to the null check."""
-    n = df.agg(F.count_if(~F.col(column).isin(*values)).alias("n"))
-    return n.select(*result("domain:" + column, F.col("n") == 0, F.col("n")))
+    return passes(df, domain_of(column, values))
 
 
 def null_rate(df: DataFrame, column: str, most: float) -> DataFrame:
-    r = df.agg(F.round(F.avg(F.col(column).isNull().cast("int")), 4).alias("r"))
-    return r.select(*result("null_rate:" + column, F.col("r") <= most, F.col("r")))
+    return passes(df, null_share(column, most))
 
 
 def has_columns(df: DataFrame, **kinds: str) -> DataFrame:

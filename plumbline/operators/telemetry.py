@@ -56,6 +56,14 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count("*").alias("rows")), seen
 
 
+def written(df: DataFrame, change: Callable[[DataFrame], DataFrame], path: str) -> tuple[int, int]:
+    """Write change(df) to path; (rows in, rows out), both observed during the write."""
+    before, seen_in = counted(df, f"in-{uuid.uuid4().hex}")
+    after, seen_out = counted(change(before), f"out-{uuid.uuid4().hex}")
+    after.write.mode("overwrite").parquet(path)
+    return seen_in.get["rows"], seen_out.get["rows"]
+
+
 def healed(work: Callable[[], object], retryable: Callable[[Exception], bool], tries: int = 3, wait: float = 0.0) -> tuple[object, list[dict]]:
     """The result of work and the healing events; errors that are not retryable, and the last one, are raised."""
     events = []

@@ -73,7 +73,7 @@ both("agg_multi_stat", "SELECT l_returnflag, ROUND(SUM(l_quantity), 2) AS s, ROU
 @query("""SELECT b.bucket::INT AS bucket, COUNT(v)::BIGINT AS n, COALESCE(MIN(k), -1)::BIGINT AS first_member FROM range(15) b(bucket) LEFT JOIN (SELECT c_custkey AS k, c_acctbal AS v, LEAST(floor(c_acctbal / w), 14)::INT AS bucket FROM customer, (SELECT ceil(MAX(c_acctbal) / 15) AS w FROM customer) WHERE c_acctbal >= 0) x ON x.bucket = b.bucket GROUP BY 1""")
 def agg_histogram(t: Tables) -> DataFrame:
     h = A.histogram(t.customer.where("c_acctbal >= 0"), "c_acctbal", "c_custkey", 15)
-    return h.select("bucket", "n", F.coalesce(F.get("members", F.lit(0)), F.lit(-1)).alias("first_member"))
+    return h.select("bucket", "n", F.coalesce("first_member", F.lit(-1)).alias("first_member"))
 
 
 both("agg_value_counts", "SELECT event_type, ROUND(CAST(COUNT(*) AS DOUBLE) / SUM(COUNT(*)) OVER (), 6) AS share FROM {events} GROUP BY event_type")

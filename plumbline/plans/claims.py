@@ -21,7 +21,7 @@ def status_of(hit: F.Column) -> F.Column:
 @query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN s_suppkey % 50 WHEN 1 THEN s_suppkey % 50 WHEN 2 THEN 3 END::INT AS pick, CASE WHEN s_suppkey % 4 = 3 THEN 10 END::INT AS top, CASE WHEN s_suppkey % 4 = 2 THEN 2 END::INT AS round, 2024 AS season FROM supplier")
 def clm_draft_parse(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
-    claim = F.when(k % 4 == 0, _say("He goes at pick ", k % 50, " in 2024")).when(k % 4 == 1, _say("The ", k % 50, "th overall choice of 2024")).when(k % 4 == 2, _say("A second-round talent, third overall in 2024")).otherwise(_say("A top-10 name in 2024"))
+    claim = F.when(k % 4 == 0, _say("He goes at pick ", k % 50, " in 2024")).when(k % 4 == 1, _say("The ", k % 50, "th overall choice of 2024")).when(k % 4 == 2, _say("A second-round talent, third overall in 2024")).otherwise(_say("A top-10 pick in 2024"))
     return t.supplier.select("s_suppkey", C.pick_number(claim).alias("pick"), C.top_n(claim).alias("top"), C.draft_round(claim).alias("round"), C.season(claim).alias("season"))
 
 

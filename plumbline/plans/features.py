@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import featurestore as S
 from plumbline.operators import backtest, forest, lasso, ml
-from plumbline.operators.ranks import two_samples
+from plumbline.operators.ranks import quantiles, two_samples
 from plumbline.operators.windows import gap, trailing_without_current
 
 from .base import Tables, both, query
@@ -71,6 +71,28 @@ def ff_matrix(t: Tables) -> DataFrame:
     return j.select("entity", "year", F.round(trailing_without_current("games", 17, ["entity"], "year"), 2).alias("l17"), gap(F.col("year"), ["entity"], "year").alias("gap"), F.round(F.lag("cap").over(w), 2).alias("cap_lag1"), (F.col("c_mktsegment") == "BUILDING").cast("int").alias("is_building"), F.coalesce("nlp", F.lit(0)).alias("nlp"))
 
 
+LAGGED = "LAG({c}, 1) OVER w AS {c}_lag_1, LAG({c}, 2) OVER w AS {c}_lag_2, LAG({c}, 3) OVER w AS {c}_lag_3"
+
+
+@query(f"""SELECT entity, year, ROUND(cap_lag_1, 2) AS cap_lag_1, ROUND(cap_lag_2, 2) AS cap_lag_2, ROUND(cap_lag_3, 2) AS cap_lag_3, games_lag_1, games_lag_2, games_lag_3, ROUND(list_aggregate(list_filter([games_lag_1, games_lag_2, games_lag_3], lambda x: x IS NOT NULL), 'stddev_samp'), 6) AS games_volatility,
+ROUND(cap_lag_1 * games_lag_1, 2) AS cap_games_lag_1, ROUND(cap_lag_1 / NULLIF(games_lag_1, 0), 4) AS cap_per_game, (nth <= 2)::INT AS is_early, CASE WHEN nth > 2 AND cap_lag_1 > 1.25 * cap_lag_2 THEN 1 ELSE 0 END AS is_rising
+FROM (SELECT entity, year, row_number() OVER w AS nth, {LAGGED.format(c="cap")}, {LAGGED.format(c="games")} FROM {FACTS} WINDOW w AS (PARTITION BY entity ORDER BY year))""")
+def ff_lag_matrix(t: Tables) -> DataFrame:
+    """Three lags of each measure, how much they vary, what they make together, and flags of the career's stage; nothing of the row's own year."""
+    w = Window.partitionBy("entity").orderBy("year")
+    lagged = facts(t).withColumns({f"{c}_lag_{k}": F.lag(c, k).over(w) for c in ("cap", "games") for k in (1, 2, 3)} | {"nth": F.row_number().over(w)})
+    seen = F.filter(F.array(*(f"games_lag_{k}" for k in (1, 2, 3))), lambda x: x.isNotNull())
+    n = F.size(seen)
+    mean = F.aggregate(seen, F.lit(0.0), lambda a, x: a + x) / n
+    spread = F.when(n > 1, F.sqrt(F.aggregate(seen, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / (n - 1)))
+    cap, games = F.col("cap_lag_1"), F.col("games_lag_1")
+    return lagged.select(
+        "entity", "year", *(F.round(f"cap_lag_{k}", 2).alias(f"cap_lag_{k}") for k in (1, 2, 3)), *(f"games_lag_{k}" for k in (1, 2, 3)), F.round(spread, 6).alias("games_volatility"),
+        F.round(cap * games, 2).alias("cap_games_lag_1"), F.round(F.try_divide(cap, games), 4).alias("cap_per_game"), (F.col("nth") <= 2).cast("int").alias("is_early"),
+        F.coalesce(((F.col("nth") > 2) & (cap > 1.25 * F.col("cap_lag_2"))).cast("int"), F.lit(0)).alias("is_rising"),
+    )
+
+
 @query("SELECT COUNT(*) FILTER (WHERE valid_from > make_date(prediction_year, 2, 15)) AS late, COUNT(*) AS n FROM " + LAGS)
 def ff_pit_check(t: Tables) -> DataFrame:
     return lags(t).agg(F.count_if(F.col("valid_from") > F.make_date("prediction_year", F.lit(2), F.lit(15))).alias("late"), F.count("*").alias("n"))
@@ -96,9 +118,9 @@ def ml_leakage_drop(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey FROM orders, (SELECT median(o_totalprice) AS m, quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25) AS iqr FROM orders) WHERE abs(o_totalprice - m) > 0.9 * iqr")
 def ml_anomaly(t: Tables) -> DataFrame:
-    """Robust z-score: distance from the median in interquartile ranges (no isolation forest among the engine's built-ins)."""
-    q = t.orders.agg(F.percentile("o_totalprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))  # one row
-    return t.orders.crossJoin(F.broadcast(q)).where(F.abs(F.col("o_totalprice") - F.col("q")[1]) > 0.9 * (F.col("q")[2] - F.col("q")[0])).select("o_orderkey")
+    """Robust z-score: distance from the median in interquartile ranges; ml_isolation_forest is the other detector."""
+    q = quantiles(t.orders, [], "o_totalprice", {"low": 0.25, "mid": 0.5, "high": 0.75})  # one row
+    return t.orders.crossJoin(F.broadcast(q)).where(F.abs(F.col("o_totalprice") - F.col("mid")) > 0.9 * (F.col("high") - F.col("low"))).select("o_orderkey")
 
 
 @query()

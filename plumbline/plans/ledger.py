@@ -125,7 +125,7 @@ def acc_scan(t: Tables) -> DataFrame:
     later = t.events.select(*cols, F.concat_ws(":", "event_type", "props").alias("text"))
     found = events_after(misses, later, "user_id", "ts", "ts", "event_id", 3 * 86_400, 10)
     blob = found.groupBy(F.col("anchor_event_id").alias("event_id")).agg(F.sort_array(F.collect_list(F.struct("rank", "event_text", "event_event_id"))).alias("parts"))
-    blob = blob.select("event_id", F.array_join(F.transform("parts", lambda p: F.substring(p.event_text, 1, 1000)), "---").alias("blob"), F.col("parts")[0]["event_event_id"].alias("first_id"))
+    blob = blob.select("event_id", F.array_join(F.transform("parts", lambda p: p.event_text), "---").alias("blob"), F.col("parts")[0]["event_event_id"].alias("first_id"))
     joined = misses.select("event_id").join(blob, "event_id", "left")
     cls = F.when(F.coalesce(F.length("blob"), F.lit(0)) < 200, "insufficient_data").otherwise("classified")
     return joined.select("event_id", cls.alias("cls"), F.coalesce("first_id", F.lit(-1)).alias("evidence"))

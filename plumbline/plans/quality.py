@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import quality as Q
 from plumbline.operators import telemetry as T
+from plumbline.session import scratch
 
 from .base import Tables, both, query
 
@@ -31,13 +32,13 @@ def dq_not_null_contract(t: Tables) -> DataFrame:
 ]))
 def dq_suite(t: Tables) -> DataFrame:
     o = t.orders.withColumn("year", F.year("o_orderdate"))
-    return Q.suite(Q.row_count(o, 1000), Q.unique(o, ["o_orderkey"]), Q.coverage(o, "year", range(1995, 2003)), Q.in_range(o, "o_totalprice", 0, 400000), Q.allowed(o, "o_orderstatus", ["F", "O"]))
+    return Q.suite(Q.passes(o, Q.at_least(1000), Q.covers("year", range(1995, 2003)), Q.range_of("o_totalprice", 0, 400000), Q.domain_of("o_orderstatus", ["F", "O"])), Q.unique(o, ["o_orderkey"]))
 
 
 @query(row("null_rate:kind", "r <= 0.05", "r", "(SELECT ROUND(AVG(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0 END), 4) AS r FROM events)") + " UNION ALL " + row("row_count", "n >= 100", "n", "(SELECT COUNT(*) AS n FROM events)"))
 def dq_bq_checks(t: Tables) -> DataFrame:
     e = t.events.withColumn("kind", F.nullif("event_type", F.lit("error")))
-    return Q.suite(Q.null_rate(e, "kind", 0.05), Q.row_count(e, 100))
+    return Q.passes(e, Q.null_share("kind", 0.05), Q.at_least(100))
 
 
 @query("SELECT * FROM (VALUES ('column:c_custkey', 'pass', 'bigint'), ('column:c_acctbal', 'fail', 'double'), ('column:c_phone', 'fail', 'missing')) v(check_name, status, detail)")
@@ -71,9 +72,8 @@ both("dq_rankings_file", "SELECT COUNT(*) AS n, COUNT(*) >= 1500 AS enough, ROUN
 @query("SELECT 'copy' AS stage, 'ok' AS status, COUNT(*) AS rows_in, COUNT(*) AS rows_out FROM nation UNION ALL SELECT 'filter', 'failed', COUNT(*), 0 FROM nation")
 def tel_runs(t: Tables) -> DataFrame:
     run = T.Run()
-    n = t.nation.count()
-    run.stage("copy", lambda: (n, t.nation.count()))
-    run.stage("filter", lambda: (n, t.nation.where("n_nationkey < 0").count()))
+    for name, change in (("copy", lambda df: df), ("filter", lambda df: df.where("n_nationkey < 0"))):
+        run.stage(name, lambda name=name, change=change: T.written(t.nation, change, f"{scratch(t.spark)}/{name}"))
     return run.frame(t.spark).select("stage", "status", "rows_in", "rows_out")
 
 

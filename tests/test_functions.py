@@ -148,6 +148,7 @@ def test_thresholds_of_claims(spark):
 
 
 def test_draft_phrases(spark):
-    said = {"drafted 39th overall": 39, "drafted #7": 7, "No. 12 pick": 12, "#3 overall": 3, "the 4 overall choice": 4, "first overall": 1, "pick #9": 9, "goes at pick 20": 20, "wears #12 in 2024": None, "a top-10 pick": None}
+    said = {"drafted 39th overall": 39, "drafted #7": 7, "No. 12 pick": 12, "No. 12 in the huddle": None, "wears No. 7": None, "No 5 overall": 5, "the #1 overall pick": 1, "a top-10 offense and No. 3 defense": None, "#3 overall": 3, "the 4 overall choice": 4, "first overall": 1, "pick #9": 9, "goes at pick 20": 20, "wears #12 in 2024": None, "a top-10 pick": None}
     assert one(spark, claims.pick_number(F.col("c")), *said, schema="c string") == list(said.values())
+    assert one(spark, claims.top_n(F.col("c")), "a top-10 pick", "top 5 pick", "a top-10 offense", "the top 3", schema="c string") == [10, 5, None, None]
     assert one(spark, claims.draft_round(F.col("c")), "round 12", "a second-round talent", "nothing", schema="c string") == [12, 2, None]
