@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 RUNS = "run_id string, stage string, status string, seconds double, rows_in long, rows_out long, error string"
@@ -78,6 +78,12 @@ def healed(work: Callable[[], object], retryable: Callable[[Exception], bool], t
     raise AssertionError("unreachable")
 
 
+def lineage_events(run_id: Column, job: str, inputs: list[str], outputs: list[str], event: Column, at: Column) -> Column:
+    """The same event as a column, a row for each run of a job."""
+    name = lambda x: F.struct(F.lit(x).alias("name"), F.lit("plumbline").alias("namespace"))
+    return F.to_json(F.struct(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("eventTime"), event.alias("eventType"), F.array(*map(name, inputs)).alias("inputs"), name(job).alias("job"), F.array(*map(name, outputs)).alias("outputs"), F.struct(run_id.alias("runId")).alias("run")))
+
+
 def lineage(run_id: str, job: str, inputs: list[str], outputs: list[str], event: str, at: str) -> str:
     """A lineage event as JSON in the open standard's shape."""
     names = lambda xs: [{"namespace": "plumbline", "name": x} for x in xs]

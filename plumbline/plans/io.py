@@ -133,9 +133,12 @@ def src_rss(t: Tables) -> DataFrame:
     return entry.where(F.contains("low", F.lit("the"))).select("doc_id", "author", F.when(body == F.col("content"), "content").otherwise("summary").alias("picked"))
 
 
-@query("SELECT * FROM (VALUES (1, 'a', DATE '2024-01-01'), (2, 'b', DATE '2024-01-01'), (3, NULL, DATE '2024-01-01')) v(id, name, _ingested_at)")
+@query("SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, DATE '2024-01-01' AS _ingested_at FROM customer")
 def src_rest_json(t: Tables) -> DataFrame:
-    return files.rest_records(t.spark, [[{"id": 1, "name": "a"}, {"id": 2, "name": "b"}], [{"id": 3, "name": None}]], "id int, name string", F.to_date(F.lit("2024-01-01")))
+    """Customers as a service pages them, a hundred a response, and the records out of those responses."""
+    record = F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    pages = t.customer.groupBy(F.floor(F.col("c_custkey") / 100).alias("page")).agg(F.to_json(F.struct(F.count("*").alias("total"), F.collect_list(record).alias("data"))).alias("body"))
+    return files.rest_records(pages, "body", "data", "id: bigint, name: string, balance: double", F.to_date(F.lit("2024-01-01")))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1997-01-01'")

@@ -120,15 +120,20 @@ def res_precision_report(t: Tables) -> DataFrame:
 @query("""SELECT event_id, CASE WHEN length(blob) < 200 THEN 'insufficient_data' ELSE 'classified' END AS cls, COALESCE(first_id, -1)::BIGINT AS evidence FROM (SELECT a.event_id, COALESCE(string_agg(e.event_type || ':' || e.props, '---' ORDER BY e.ts, e.event_id), '') AS blob, MIN_BY(e.event_id, (e.ts, e.event_id)) AS first_id
 FROM (SELECT * FROM events WHERE event_type = 'error') a LEFT JOIN LATERAL (SELECT * FROM events x WHERE x.user_id = a.user_id AND x.ts > a.ts AND x.ts <= a.ts + INTERVAL 3 DAY ORDER BY x.ts, x.event_id LIMIT 10) e ON TRUE GROUP BY 1)""")
 def acc_scan(t: Tables) -> DataFrame:
+    return scan(t, lambda blob: F.when(F.length(blob) < 200, "insufficient_data").otherwise("classified"))
+
+
+def scan(t: Tables, classify) -> DataFrame:
+    """(event_id, cls, evidence) of each miss: classify(text) of the first ten events within three days of it, and the first of them (-1: none). `classify` is any function of a text column: rules, or a vectorised UDF around a model."""
     cols = ["user_id", "event_id", "ts"]
     misses = t.events.where("event_type = 'error'").select(*cols)
     later = t.events.select(*cols, F.concat_ws(":", "event_type", "props").alias("text"))
     found = events_after(misses, later, "user_id", "ts", "ts", "event_id", 3 * 86_400, 10)
+    # at most ten parts a miss
     blob = found.groupBy(F.col("anchor_event_id").alias("event_id")).agg(F.sort_array(F.collect_list(F.struct("rank", "event_text", "event_event_id"))).alias("parts"))
     blob = blob.select("event_id", F.array_join(F.transform("parts", lambda p: p.event_text), "---").alias("blob"), F.col("parts")[0]["event_event_id"].alias("first_id"))
     joined = misses.select("event_id").join(blob, "event_id", "left")
-    cls = F.when(F.coalesce(F.length("blob"), F.lit(0)) < 200, "insufficient_data").otherwise("classified")
-    return joined.select("event_id", cls.alias("cls"), F.coalesce("first_id", F.lit(-1)).alias("evidence"))
+    return joined.select("event_id", classify(F.coalesce("blob", F.lit(""))).alias("cls"), F.coalesce("first_id", F.lit(-1)).alias("evidence"))
 
 
 both("acc_summary", "SELECT user_id, event_type, COUNT(*) AS n, ROUND(COUNT(*) * CAST(100 AS DOUBLE) / SUM(COUNT(*)) OVER (PARTITION BY user_id), 2) AS pct FROM {events} GROUP BY user_id, event_type")

@@ -77,21 +77,21 @@ def tel_runs(t: Tables) -> DataFrame:
     return run.frame(t.spark).select("stage", "status", "rows_in", "rows_out")
 
 
-@query("SELECT * FROM (VALUES (1, 'TimeoutError'), (2, 'TimeoutError')) v(attempt, error)")
+@query("SELECT attempt, 'AnalysisException' AS error, n FROM (VALUES (1), (2)) v(attempt), (SELECT COUNT(*) AS n FROM orders)")
 def tel_healing(t: Tables) -> DataFrame:
-    left = [TimeoutError(), TimeoutError()]
+    """A read that finds its table at the third place, with the two failures before it and the rows it gave."""
+    places = iter([f"{t.sf_dir}/orders.missing", f"{t.sf_dir}/orders.moved", f"{t.sf_dir}/orders.parquet"])
+    orders, failures = T.healed(lambda: t.spark.read.parquet(next(places)), lambda e: type(e).__name__ == "AnalysisException")
+    return t.spark.createDataFrame(failures, "attempt int, error string").crossJoin(orders.agg(F.count("*").alias("n")))  # one row
 
-    def work():
-        if left:
-            raise left.pop()
-        return True
 
-    return t.spark.createDataFrame(T.healed(work, lambda e: isinstance(e, TimeoutError))[1], "attempt int, error string")
-
-
-@query("""SELECT '{"eventTime": "2024-01-01T00:00:00Z", "eventType": "COMPLETE", "inputs": [{"name": "orders", "namespace": "plumbline"}], "job": {"name": "gold", "namespace": "plumbline"}, "outputs": [{"name": "fact", "namespace": "plumbline"}], "run": {"runId": "r1"}}' AS event""")
+@query("""SELECT year, '{"eventTime":"' || strftime(last, '%Y-%m-%dT%H:%M:%SZ') || '","eventType":"' || CASE WHEN open = 0 THEN 'COMPLETE' ELSE 'RUNNING' END || '","inputs":[{"name":"orders","namespace":"plumbline"}],"job":{"name":"gold","namespace":"plumbline"},"outputs":[{"name":"fact","namespace":"plumbline"}],"run":{"runId":"gold-' || year || '"}}' AS event
+FROM (SELECT CAST(year(o_orderdate) AS INT) AS year, MAX(o_orderdate) AS last, COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS open FROM orders GROUP BY 1)""")
 def tel_lineage(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(T.lineage("r1", "gold", ["orders"], ["fact"], "COMPLETE", "2024-01-01T00:00:00Z"),)], "event string")
+    """A lineage event for each year's load of the orders: complete once none of them is pending."""
+    years = t.orders.groupBy(F.year("o_orderdate").alias("year")).agg(F.max("o_orderdate").alias("last"), F.count_if(F.col("o_orderstatus") == "P").alias("open"))
+    event = F.when(F.col("open") == 0, "COMPLETE").otherwise("RUNNING")
+    return years.select("year", T.lineage_events(F.concat(F.lit("gold-"), F.col("year").cast("string")), "gold", ["orders"], ["fact"], event, F.col("last")).alias("event"))
 
 
 @query("SELECT user_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE hits > 3) AS limited FROM (SELECT user_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS hits FROM events) GROUP BY 1")

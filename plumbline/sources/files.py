@@ -62,9 +62,10 @@ def yaml_rows(text: str) -> list[dict[str, str]]:
     return rows
 
 
-def rest_records(spark: SparkSession, pages: list[list[dict]], schema: str, ingested_at: Column) -> DataFrame:
-    """Record lists as a service returns them, stamped with their time of arrival."""
-    return spark.createDataFrame([r for page in pages for r in page], schema).withColumn("_ingested_at", ingested_at)
+def rest_records(responses: DataFrame, body: str, records: str, schema: str, ingested_at: Column) -> DataFrame:
+    """Records of a service's responses (one JSON object a row, its list of records under the key `records`), stamped with their time of arrival. A response that is no JSON, or has no such list, gives no rows."""
+    parsed = F.from_json(F.col(body), f"{records} array<struct<{schema}>>")[records]
+    return responses.select(F.explode(parsed).alias("r")).select("r.*").withColumn("_ingested_at", ingested_at)
 
 
 def longest_body(summary: Column, content: Column) -> Column:
