@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scoring import chain_hash
@@ -98,25 +98,25 @@ def void_near_duplicates(rows: DataFrame, group: Sequence[str], order: Sequence[
     named = rows.select(F.to_json(F.struct(*group), {"ignoreNullFields": "false"}).alias("__group"), F.coalesce(text, F.lit("")).alias("__text"), F.struct(*order).alias("__order"), F.col(row_id).alias("__id"))
     shape = f"__group string, __id {kind}, __text string, kept_id {kind}, ratio double"
 
-    def kept_file(df: DataFrame) -> DataFrame:
-        path = scratch(spark)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+    def kept_file(df: DataFrame) -> tuple[DataFrame, int]:
+        path, seen = scratch(spark), Observation()
+        df.observe(seen, F.count("*").alias("n")).write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
-    named = kept_file(named)
-    alive = kept_file(named.groupBy("__group", "__text").agg(F.min(F.struct("__order", "__id")).alias("__f")).select("__group", "__text", "__f.__order", "__f.__id"))
+    alive, left = kept_file(named.groupBy("__group", "__text").agg(F.min(F.struct("__order", "__id")).alias("__f")).select("__group", "__text", "__f.__order", "__f.__id"))
     place = F.row_number().over(Window.partitionBy("__group").orderBy("__order", "__id"))
     decided = []
     while True:
         first = alive.withColumn("__r", place).where(F.col("__r") <= lead).drop("__r")
         first = first.repartition("__group").sortWithinPartitions("__group", "__order", "__id").select("__group", "__id", "__text").mapInPandas(_greedy(least), f"{shape}, __place long")
-        decided.append(kept_file(first))
-        rest = alive.join(decided[-1].select("__group", "__id"), ["__group", "__id"], "left_anti")
-        if rest.isEmpty():
+        first, n = kept_file(first)
+        decided.append(first)
+        if n == left:
             break
+        rest = alive.join(first.select("__group", "__id"), ["__group", "__id"], "left_anti")
         tasks = rest.groupBy("__group").agg(F.ceil(F.count("*") / per_task).alias("__tasks"))  # a row for each group that goes on
         rest = rest.join(tasks, "__group").select("__group", "__id", "__text", F.pmod(F.xxhash64("__id", "__text"), F.col("__tasks")).alias("__task"))
-        kept = decided[-1].where("__place IS NOT NULL").join(tasks, "__group")
+        kept = first.where("__place IS NOT NULL").join(tasks, "__group")
         kept = kept.select("__group", "__id", "__text", "__place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__tasks") - 1)).alias("__task"))
 
         def compare(own, others):
@@ -125,10 +125,10 @@ def void_near_duplicates(rows: DataFrame, group: Sequence[str], order: Sequence[
             hits = [near.find(x) for x in own["__text"]]
             return pd.DataFrame({"__group": own["__group"], "__id": own["__id"], "__text": own["__text"], "kept_id": pd.Series([near.kept[h[0]][0] if h else None for h in hits], own.index, object), "ratio": pd.Series([h[1] if h else None for h in hits], own.index, "float64")})
 
-        met = kept_file(rest.groupBy("__group", "__task").cogroup(kept.groupBy("__group", "__task")).applyInPandas(compare, shape))
+        met, _ = kept_file(rest.groupBy("__group", "__task").cogroup(kept.groupBy("__group", "__task")).applyInPandas(compare, shape))
         decided.append(met.where("ratio IS NOT NULL AND NOT isnan(ratio)"))
-        alive = kept_file(alive.join(met.where("ratio IS NULL OR isnan(ratio)").select("__group", "__id"), ["__group", "__id"], "left_semi"))
-        if alive.isEmpty():
+        alive, left = kept_file(alive.join(met.where("ratio IS NULL OR isnan(ratio)").select("__group", "__id"), ["__group", "__id"], "left_semi"))
+        if not left:
             break
     told = reduce(DataFrame.unionByName, [d.select("__group", "__text", "kept_id", "ratio") for d in decided])
     out = named.join(told, ["__group", "__text"]).where(~F.col("__id").eqNullSafe(F.col("kept_id")))

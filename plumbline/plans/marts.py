@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import valuation as V
-from plumbline.operators.ranks import percent_rank, quantiles, running_totals, with_ranks
+from plumbline.operators.ranks import counted, from_counts, running_totals
 from plumbline.operators.windows import running
+from plumbline.session import scratch
 
 from .base import Tables, both, query
 
@@ -23,15 +24,22 @@ def fct_cost_by_player(t: Tables) -> DataFrame:
     """Flagship: spend per player, team and year with its share, the year's distribution, percentile and rank."""
     base = t.orders.where("o_totalprice > 0").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
     base = base.select(F.col("o_custkey").alias("player"), F.col("n_name").alias("team"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("v"))
-    p = base.groupBy("player", "team", "year").agg(F.sum("v").alias("spend"))
+    path = scratch(t.spark)
+    base.groupBy("player", "team", "year").agg(F.sum("v").alias("spend")).write.parquet(path)  # what all but the year's distribution is made of
+    p = t.spark.read.schema("player long, team string, year int, spend double").parquet(path)
     team = p.groupBy("team", "year").agg(F.sum("spend").alias("total"), F.count("*").alias("players"))  # a player has one team: his rows are already one per year
-    y = base.groupBy("year").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("spread")).join(quantiles(base, ["year"], "v", {"p75": 0.75, "p90": 0.9}), "year")
+    values = counted(base, ["year"], "v")
+    mean = F.sum(F.col("v") * F.col("n")) / F.sum("n")
+    y = values.groupBy("year").agg(mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("v") * F.col("v") * F.col("n")) / F.sum("n") - mean * mean)).alias("spread"))
+    y = y.join(from_counts(values, ["year"], "v", {"p75": 0.75, "p90": 0.9}), "year")
     r = lambda c, n: F.round(c, n)
-    j = p.join(team, ["team", "year"]).join(F.broadcast(y), "year").withColumn("spend", r("spend", 2))  # one row per year
-    placed = running_totals(j, ["year"], [F.desc("spend"), "player"], {"row": F.lit(1)})
-    return with_ranks(placed, ["year"], "spend", pct=percent_rank()).select(
+    placed = running_totals(p.withColumn("spend", r("spend", 2)), ["year"], [F.desc("spend"), "player"], {"row": F.lit(1)})
+    ties = placed.groupBy("year", "spend").agg((F.max("row_total") - 1 - F.max("row_before")).alias("smaller"))  # of equal amounts the last place tells how many are smaller
+    pct = F.when(F.col("row_total") > 1, F.col("smaller") / (F.col("row_total") - 1)).otherwise(0.0)
+    j = placed.join(ties, ["year", "spend"]).join(team, ["team", "year"]).join(F.broadcast(y), "year")  # one row per year
+    return j.select(
         "player", "team", "year", "spend", r(F.col("spend") / F.col("total") * 100, 4).alias("team_pct"), "players", r("mean", 2).alias("year_mean"), r("spread", 2).alias("year_spread"), r("p75", 2).alias("p75"), r("p90", 2).alias("p90"),
-        r("pct", 6).alias("pct"), (F.col("row_before") + 1).cast("int").alias("rank"),
+        r(pct, 6).alias("pct"), (F.col("row_before") + 1).cast("int").alias("rank"),
     )
 
 
