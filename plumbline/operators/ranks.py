@@ -60,7 +60,7 @@ def from_counts(counts: DataFrame, keys: Sequence[str], value: str, shares: dict
             picks.append(F.max(F.when((F.col("n_before") <= k) & (k < F.col("n_before") + F.col("n")), F.col(value).cast("double"))).alias(f"__{name}_{side}"))
         picks.append(F.max(at - F.floor(at)).alias(f"__{name}_part"))
         lo, hi, part = (F.col(f"__{name}_{x}") for x in ("lo", "hi", "part"))
-        out.append((lo + (hi - lo) * part).alias(name))
+        out.append(((1 - part) * lo + part * hi).alias(name))
     return counts.groupBy(*keys).agg(*picks).select(*keys, *out)
 
 
