@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The suffixes that each version of the name cleaner takes away.
+SUFFIXES_V2 = (" Jr.", " Sr.", " III", " II")
+SUFFIXES_V3 = r"\s+(jr\.?|sr\.?|ii|iii|iv)$"
+SUFFIXES_V4 = r"\b(JR|SR|III|II|IV)\b"
+
+
 def none_if_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -32,19 +38,19 @@ def undouble_tokens(c: Column) -> Column:
 
 def clean_v2(c: Column) -> Column:
     """Suffixes removed (the longer numeral first), trimmed, lower case, a doubled first token dropped."""
-    for suffix in (" Jr.", " Sr.", " III", " II"):
+    for suffix in SUFFIXES_V2:
         c = F.replace(c, F.lit(suffix), F.lit(""))
     return undouble_tokens(F.lower(F.trim(c)))
 
 
 def clean_v3(c: Column) -> Column:
     """Lower case, a trailing generation suffix dropped, dots removed."""
-    return F.replace(F.regexp_replace(F.trim(F.lower(c)), r"\s+(jr\.?|sr\.?|ii|iii|iv)$", ""), F.lit("."), F.lit(""))
+    return F.replace(F.regexp_replace(F.trim(F.lower(c)), SUFFIXES_V3, ""), F.lit("."), F.lit(""))
 
 
 def clean_v4(c: Column) -> Column:
     """Upper case, generation words removed, other signs to single spaces."""
-    words = F.regexp_replace(F.upper(c), r"\b(JR|SR|III|II|IV)\b", "")
+    words = F.regexp_replace(F.upper(c), SUFFIXES_V4, "")
     return F.trim(F.regexp_replace(F.regexp_replace(words, r"[^A-Z0-9]+", " "), r" +", " "))
 
 
