@@ -11,8 +11,9 @@ shorter of two lines decides. Three levels find the candidates, and banded bit-p
 2. Under each shared segment all lines are held against one lead and joined by what is verified. Segments that then
    still hold several classes are paired line by line if they hold few lines.
 3. The others are split further: the place of the edits is narrowed piece by piece (all outside must be equal) until a few code points
-   are left, and their deletion neighbourhood is the last key. Lines that differ in a number inside a long common
-   template meet only where their numbers are near.
+   are left, and their deletion neighbourhood is the last key. What all lines of a key have in common at the ends of a piece is
+   taken off before it is split, and a state carries only what is left: lines that differ in a number inside a long common template
+   soon are their numbers alone and meet only where these are near.
 
 Lines joined by links, also over several steps, form a class; its first occurrence (smallest doc_id, then line number)
 stays and the others go. Exact copies are merged before the join, so a line that fills a third of all rows is one line there.
@@ -189,39 +190,41 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: Threshold) -> DataF
 def _first_gaps(lines: DataFrame, threshold: Threshold) -> DataFrame:
     """Lines (a, b, label, line) once for each length that a line near them and not longer may have: h, own and the one gap that is the whole line."""
     n = F.length("line").cast("int")
-    gap = lambda m: F.array(F.struct(F.lit(0).alias("lo"), n.alias("hi"), m.alias("len"), allowed(m, threshold).alias("edits")))
+    gap = lambda m: F.array(F.struct(F.col("line").alias("text"), m.alias("len"), allowed(m, threshold).alias("edits")))
     starts = [F.when((n - d >= 1) & (allowed(n - d, threshold) >= F.greatest(F.lit(1), F.lit(d))), F.struct(F.xxhash64(n - d).alias("h"), F.lit(d == 0).alias("own"), gap(n - d).alias("gaps"))) for d in range(most_edits(threshold) + 1)]
-    some = lines.select(*KEY, "label", "line", F.explode(F.filter(F.array(*starts), lambda s: s.isNotNull())).alias("s"))
-    return some.select(*KEY, "label", "line", "s.h", "s.own", "s.gaps")
+    some = lines.select(*KEY, "label", F.explode(F.filter(F.array(*starts), lambda s: s.isNotNull())).alias("s"))
+    return some.select(*KEY, "label", "s.h", "s.own", "s.gaps")
 
 
-def _pieces(line: Column, h: Column, gap: Column, rest: Column) -> Column:
+def _pieces(h: Column, gap: Column, rest: Column) -> Column:
     """Children of a state by the pieces of the gap that hold its first and its last edit; with two edits or more in different pieces, what lies between may have moved."""
     combos = [(i, j, s) for i in range(PIECES) for j in range(i, PIECES) for s in ((0,) if i == j else (0, -1, 1))]
     table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("ijs", c, strict=True)]) for c in combos])
+    size = F.length(gap["text"])
     at = lambda k: F.floor(gap["len"] * k / PIECES).cast("int")
-    part = lambda lo, hi: F.substring(line, lo + 1, F.greatest(hi - lo, F.lit(0)))
-    new = lambda lo, hi, size, e: F.struct(lo.alias("lo"), hi.alias("hi"), size.alias("len"), e.alias("edits"))
+    part = lambda lo, hi: F.substring(gap["text"], lo + 1, F.greatest(hi - lo, F.lit(0)))
+    new = lambda lo, hi, len_, e: F.struct(part(lo, hi).alias("text"), len_.alias("len"), e.alias("edits"))
+    near = lambda lo, hi, len_, e: (hi >= lo) & (F.abs(hi - lo - len_) <= e)
 
     def child(c: Column) -> Column:
-        lo, hi = gap["lo"] + at(c.i), gap["hi"] - (gap["len"] - at(c.j + 1))
-        one, two = gap["lo"] + at(c.i + 1) + c.s, gap["lo"] + at(c.j) + c.s
+        lo, hi = at(c.i), size - (gap["len"] - at(c.j + 1))
+        one, two = at(c.i + 1) + c.s, at(c.j) + c.s
+        first, last = at(c.i + 1) - at(c.i), at(c.j + 1) - at(c.j)
         same = c.i == c.j
         inside = F.when(same, F.lit("")).otherwise(part(one, two))
-        key = F.xxhash64(h, c.i, c.j, part(gap["lo"], lo), inside, part(hi, gap["hi"]))
-        gaps = F.when(same, F.array(new(lo, hi, at(c.i + 1) - at(c.i), gap["edits"]))).otherwise(F.array(new(lo, one, at(c.i + 1) - at(c.i), F.lit(1)), new(two, hi, at(c.j + 1) - at(c.j), F.lit(1))))
-        return F.struct(key.alias("h"), (c.s == 0).alias("own"), F.concat(gaps, rest).alias("gaps"))
+        key = F.xxhash64(h, c.i, c.j, part(F.lit(0), lo), inside, part(hi, size))
+        gaps = F.when(same, F.array(new(lo, hi, first, gap["edits"]))).otherwise(F.array(new(lo, one, first, F.lit(1)), new(two, hi, last, F.lit(1))))
+        fits = F.when(same, near(lo, hi, first, gap["edits"])).otherwise(near(lo, one, first, F.lit(1)) & near(two, hi, last, F.lit(1)))
+        return F.when(fits, F.struct(key.alias("h"), (c.s == 0).alias("own"), F.concat(gaps, rest).alias("gaps")))
 
-    fits = lambda c: (c.i == c.j) | (gap["edits"] > 1)
-    return F.filter(F.transform(F.filter(table, fits), child), lambda s: F.forall(s["gaps"], lambda g: (g["hi"] >= g["lo"]) & (F.abs(g["hi"] - g["lo"] - g["len"]) <= g["edits"])))
+    return F.array_compact(F.transform(F.filter(table, lambda c: (c.i == c.j) | (gap["edits"] > 1)), child))
 
 
-def _variants(line: Column, h: Column, gap: Column, rest: Column, most: int) -> Column:
+def _variants(h: Column, gap: Column, rest: Column, most: int) -> Column:
     """Children of a state by what is left of a short gap without up to as many code points as edits are allowed."""
-    inner = F.substring(line, gap["lo"] + 1, gap["hi"] - gap["lo"])
     shorter = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
     less = lambda many: F.array_distinct(F.concat(many, F.flatten(F.transform(F.filter(many, lambda t: F.length(t) > 0), shorter))))
-    texts = [F.array(inner)]
+    texts = [F.array(gap["text"])]
     for _ in range(most):
         texts.append(less(texts[-1]))
     chosen = F.element_at(F.array(*texts), gap["edits"] + 1) if most > 1 else texts[1]
@@ -233,10 +236,34 @@ def _split(states: DataFrame, most: int) -> DataFrame:
     longest = F.array_max(F.transform("gaps", lambda g, i: F.struct(g["len"].alias("len"), i.alias("i"))))
     marked = states.withColumn("spot", longest["i"]).withColumn("gap", F.get("gaps", F.col("spot")))
     marked = marked.withColumn("rest", F.filter("gaps", lambda g, i: i != F.col("spot"))).withColumn("h", F.xxhash64("h", "spot"))
-    args = [F.col(c) for c in ("line", "h", "gap", "rest")]
+    args = [F.col(c) for c in ("h", "gap", "rest")]
     children = F.when(F.col("gap.len") > LAST_GAP, _pieces(*args)).otherwise(_variants(*args, most))
-    some = marked.select(*KEY, "label", "line", "own", F.explode(children).alias("s"))
-    return some.select(*KEY, "label", "line", F.col("s.h").alias("h"), (F.col("own") & F.col("s.own")).alias("own"), F.col("s.gaps").alias("gaps"))
+    some = marked.select(*KEY, "label", "own", F.explode(children).alias("s"))
+    return some.select(*KEY, "label", F.col("s.h").alias("h"), (F.col("own") & F.col("s.own")).alias("own"), F.col("s.gaps").alias("gaps"))
+
+
+def _trimmed(states: DataFrame, most: int) -> DataFrame:
+    """The states without what all lines of their key have in common at the ends of a gap, and without the gaps that are then empty.
+
+    What all texts have in common at an end is what the first and the last of them in order have in common, so that two values a key
+    tell it. Equal ends of two texts change neither their distance nor, as they go from all lines of the key alike, its pieces.
+    """
+    text = lambda g: F.get("gaps", F.lit(g))["text"]
+    aggregates = [f(v).alias(f"{c}{g}") for g in range(most) for c, f, v in (("low", F.min, text(g)), ("high", F.max, text(g)), ("back_low", F.min, F.reverse(text(g))), ("back_high", F.max, F.reverse(text(g))), ("least", F.min, F.length(text(g))), ("most", F.max, F.length(text(g))))]
+    by = states.groupBy("h").agg(*aggregates)
+    start = lambda g: F.coalesce(common_start(F.col(f"low{g}"), F.col(f"high{g}")), F.lit(0))
+    end = lambda g: F.coalesce(common_start(F.col(f"back_low{g}"), F.col(f"back_high{g}")), F.lit(0))
+    by = by.select("h", *[c for g in range(most) for c in (start(g).alias(f"start{g}"), end(g).alias(f"end{g}"), f"least{g}", f"most{g}")])
+    ends = [F.struct(F.col(f"start{g}").alias("start"), F.least(f"end{g}", F.col(f"least{g}") - F.col(f"start{g}")).alias("end"), F.col(f"most{g}").alias("most")) for g in range(most)]
+    by = by.select("h", F.array(*ends).alias("ends"))
+    taken = lambda e: e["start"] + e["end"]
+
+    def shorter(g: Column, i: Column) -> Column:
+        e = F.get("ends", i)
+        rest = F.struct(F.substring(g["text"], e["start"] + 1, F.length(g["text"]) - taken(e)).alias("text"), (g["len"] - taken(e)).alias("len"), g["edits"].alias("edits"))
+        return F.when(e["most"] > taken(e), rest)
+
+    return states.join(by, "h").select(*KEY, "label", "h", "own", F.array_compact(F.transform("gaps", shorter)).alias("gaps"))
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -287,7 +314,8 @@ def similar_lines(shared: DataFrame, texts: DataFrame, threshold: Threshold) ->
         few.append(under(states.where(~done), mixed.where(F.col("n") <= FEW_LINES)).select("h", *KEY, "label", "own"))
         last.append(under(states.where(done), mixed).select("h", *KEY, "label", "own"))
         many = mixed.where(F.col("open") & (F.col("n") > FEW_LINES))
-        states, hot = under(states, many), many.limit(1).count()
+        hot = many.limit(1).count()
+        states = _trimmed(cut(under(states, many)), most) if hot else states
     # under the last keys there are near lines only: most of them are joined by the lead, the others pair by pair
     last = cut(reduce(DataFrame.union, last).distinct())
     found.append(cut(_verified(_each_pair(reduce(DataFrame.union, few)).union(_against_lead(last)).distinct(), texts, threshold)))

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import components, decontaminate, jaccard, language_id, line_dedup, mixing, ppm_score, quality, queries, secrets, surrogates, topk
-from plumbline.llm.common import read
+from plumbline.llm.common import cut, read
 
 from . import brute
 
@@ -228,10 +228,11 @@ def test_bit_parallel_edits(spark):
         assert all(r["e"] == (d if (d := brute.edit_distance(r["x"], r["y"])) <= most else None) for r in got)
 
 
-def test_lines_of_one_template(spark, monkeypatch):
-    """Lines that differ in a number inside a long common text: few candidates, and all links."""
+@pytest.mark.parametrize("many", [1200, 4800])
+def test_lines_of_one_template(spark, monkeypatch, many):
+    """Lines that differ in a number inside a long common text: few candidates, as many states a line for more lines, and all links."""
     rng = random.Random(4)
-    numbers = rng.sample(range(10**6), 1200)
+    numbers = rng.sample(range(10**6), many)
     rows_ = [(i, f"2024-01-01 12:00:00 INFO worker finished the request number {x:06d} in the usual time and without any warning") for i, x in enumerate(numbers)]
     seen = []
     verified = line_dedup._verified
@@ -240,7 +241,15 @@ def test_lines_of_one_template(spark, monkeypatch):
         seen.append(pairs_.count())
         return verified(pairs_, texts, threshold)
 
+    states, split = [], line_dedup._split
+
+    def split_counted(rows_before, most):
+        out = cut(split(rows_before, most))
+        states.append(out.count())
+        return out
+
     monkeypatch.setattr(line_dedup, "_verified", counted)
+    monkeypatch.setattr(line_dedup, "_split", split_counted)
     got = dropped(spark.createDataFrame(rows_, "doc_id long, text string"), threshold=2, min_chars=10)
     up = list(range(len(numbers)))
 
@@ -251,14 +260,15 @@ def test_lines_of_one_template(spark, monkeypatch):
 
     at = defaultdict(list)  # numbers of one length within two edits share what is left without two digits
     for i, x in enumerate(numbers):
-        for cut in itertools.combinations(range(6), 4):
-            at["".join(f"{x:06d}"[k] for k in cut)].append(i)
+        for kept in itertools.combinations(range(6), 4):
+            at["".join(f"{x:06d}"[k] for k in kept)].append(i)
     for group in at.values():
         for i, j in itertools.combinations(group, 2):
             if root(i) != root(j) and brute.edit_distance(f"{numbers[i]:06d}", f"{numbers[j]:06d}") <= 2:
                 up[max(root(i), root(j))] = min(root(i), root(j))
     assert set(got) == {i for i in range(len(numbers)) if root(i) != i}
     assert sum(seen) < 40 * len(numbers)
+    assert sum(states) < 90 * len(numbers)
 
 
 def test_lines_defined_cases(spark, odd, empty):
