@@ -7,6 +7,7 @@ separator byte, so no word, window or context ever crosses from one document int
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import tempfile
 import uuid
@@ -43,13 +44,53 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Removes the shuffle files of a query when it has ended, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_tables: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("tables", default=None)
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """The shuffle files of each query that runs inside are removed when it has ended."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared checkpoint folder and continue from its files: lineage ends there and any executor can read them."""
     path = f"{checkpoint_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    if (tables := _tables.get()) is not None:
+        tables.append(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a written table, in whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def tables_dropped(spark: SparkSession):
+    """The tables that cut() writes inside are deleted at the end: for use around a result that is written inside too."""
+    mark = _tables.set([])
+    try:
+        yield
+    finally:
+        for path in _tables.get():
+            delete(spark, path)
+        _tables.reset(mark)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

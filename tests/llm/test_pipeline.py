@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pathlib
 import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
 from plumbline.llm import line_dedup, queries
-from plumbline.llm.common import read
+from plumbline.llm.common import CLEANUP, checkpoint_folder, read
 
 from . import brute
 from .test_operators import plain_budgets
@@ -68,3 +69,13 @@ def test_empty_table(spark):
         assert docs.count() == 0
         if "text" not in docs.columns:
             break
+
+
+def test_run_keeps_its_result_alone(spark):
+    """What stages write on the way is deleted; their shuffle files too, so that the setting is as before."""
+    folder = pathlib.Path(checkpoint_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("cut-*")) | set(folder.glob("pipeline-*"))
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    (left,) = (set(folder.glob("cut-*")) | set(folder.glob("pipeline-*"))) - before
+    assert [p.name for p in left.iterdir() if not p.name.startswith(".")] == ["4-mixing"]
+    assert spark.conf.get(CLEANUP) in ("false", False)
