@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, jaccard, line_dedup, mixing, quality, queries
-from plumbline.llm.common import checkpoint_folder, crc_mod, read
+from plumbline.llm.common import checkpoint_folder, crc_mod, delete, read, shuffles_dropped, tables_dropped
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each result is written as Parquet in the shared folder and read again."""
-    checkpoint_folder(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    docs = read(spark, sf_dir, "documents")
+    """All stages in order; each result is written as Parquet in the shared folder and read again. A stage's input and own tables are deleted when its result is written."""
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = read(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        path = f"{folder}/{k}-{name}"
+        with tables_dropped(spark), shuffles_dropped(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
