@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, lean, padded, raw_text, slices, string_batch
+from .common import LOWER, cut, lean, padded, raw_text, slices, string_batch
 
 UNDETERMINED = "und"
 
@@ -142,20 +142,33 @@ def code_lengths(model: ContextTrees, array: pa.Array) -> np.ndarray:
     return out
 
 
-def sample(docs: DataFrame, per_language: int = 400, most_bytes: int = 1 << 16, most_languages: int = 256) -> dict[str, list[str]]:
-    """A bounded labelled sample: for each language (the `most_languages` most frequent) the `per_language` rows lowest by a hash of the id; of a longer text than `most_bytes` the fit sees a part of that size."""
+#: A sampled window has this many code points at least; with very many languages the number of windows falls instead.
+LEAST_WINDOW = 64
+#: The counts of up to so many languages are broadcast (a name and a number each).
+BROADCAST_LANGUAGES = 100_000
+
+
+def sample(docs: DataFrame, per_language: int = 400, sample_bytes: int = 64 << 20) -> dict[str, list[str]]:
+    """A labelled sample of at most `sample_bytes` in which every language takes part with an equal share: of each of the
+    `per_language` rows lowest by a hash of id and text one window, at a place that the hash chooses in the whole text. Rows that repeat
+    id and text count once. More than sample_bytes / 256 languages exceed the bound by one window each."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    rows = rows.select("lang", "doc_id", F.when(F.octet_length("text") > most_bytes, F.substring("text", 1, most_bytes // 4)).otherwise(F.col("text")).alias("text"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text")).alias("n"))
+    counts = cut(counts)
+    languages = counts.count()
+    if not languages:
         return {}
+    share = sample_bytes // 4 // languages
+    window = max(LEAST_WINDOW, share // per_language)
+    most = max(1, min(per_language, share // window))
     span = 1 << 30
-    spot = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(span))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(span * min(1.0, 2.0 * per_language / n + 20 / n)))])
-    near = rows.where(spot <= F.coalesce(share[F.col("lang")], F.lit(-1))).select("lang", "text", "doc_id", spot.alias("spot"))
+    spot = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(span))
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(18)), F.greatest(F.length("text") - window + 1, F.lit(1))).cast("int") + 1
+    near = rows.join(F.broadcast(counts) if languages <= BROADCAST_LANGUAGES else counts, "lang").where(spot <= span * F.least(F.lit(1.0), (2.0 * most + 20) / F.col("n")))
+    near = near.select("lang", spot.alias("spot"), "doc_id", F.substring("text", place, F.lit(window)).alias("text")).distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("spot", "doc_id", "text"))
     got: dict[str, list[str]] = {}
-    for r in near.withColumn("r", rank).where(F.col("r") <= per_language).select("lang", "text").collect():
+    for r in near.withColumn("r", rank).where(F.col("r") <= most).select("lang", "text").collect():
         got.setdefault(r[0], []).append(r[1])
     return got
 

@@ -124,6 +124,19 @@ def test_language_defined_cases(spark, odd, empty):
     assert language_id.identify(empty.select("doc_id", "text", held), model).count() == 0
 
 
+def test_language_sample_is_bounded(spark):
+    texts = [(i, "abc" * 20_000 + "xyz" * 20_000, f"l{i % 5}") for i in range(40)] + [(7, "again", "l9")] * 1000
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    got = language_id.sample(df, per_language=6, sample_bytes=24_000)
+    assert sorted(got) == ["l0", "l1", "l2", "l3", "l4", "l9"] and got["l9"] == ["again"]
+    assert all(len(got[f"l{k}"]) == 6 and {len(t) for t in got[f"l{k}"]} == {24_000 // 4 // 6 // 6} for k in range(5))
+    every = [t for k in range(5) for t in got[f"l{k}"]]
+    assert any("abc" in t for t in every) and any("xyz" in t for t in every)  # from whole texts, not from their beginnings
+    many = spark.range(600).select("id", F.col("id").alias("doc_id"), F.lit("some words of a text " * 9).alias("text"), F.concat(F.lit("k"), F.col("id") % 300).alias("lang"))
+    got = language_id.sample(many, sample_bytes=1 << 16)
+    assert len(got) == 300 and all(len(v) == 1 and len(v[0]) == language_id.LEAST_WINDOW for v in got.values())
+
+
 # 2 language-model scores ----------------------------------------------------------------------------
 
 
