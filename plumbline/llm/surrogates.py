@@ -8,8 +8,9 @@ A distributed check over the entities of all documents confirms this, and that n
 fail, the next key version is taken.
 
 Letter case follows the occurrence and does not tell entities apart. Card numbers keep whether their check digit holds, account
-numbers their country and valid check digits. Persons are found by titles, listed given names and cue words, with up to three
-capitalised words, and by later bare mentions of a surname so found; a name without any of these is not found. Defined
+numbers their country and valid check digits. Persons are runs of capitalised words that `persons` has learned from the corpus to be names,
+and names after titles, listed given names and cue words (these unless the corpus tells that they are none), with up to three
+words, and later bare mentions of a surname so found. Defined
 cases: a null text stays null; empty texts stay; repeated rows give repeated results; a null id is carried through. Spans
 are code points of the original, end exclusive. Only doc_id and text are read, so other columns cannot clash.
 """
@@ -29,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import persons as learned
 from .common import lean, slices, string_batch
 
 KINDS = ("email", "phone", "card", "ip", "person", "id")
@@ -258,9 +260,10 @@ def _name_like(word: str | None) -> bool:
     return bool(word) and (word[0].isupper() or word[0].lower() == word[0].upper())
 
 
-def persons(text: str):
-    """(start, end, kind) of names: after a title, from a listed given name on, after a cue (and what is joined to it), and every later bare mention of a surname so found."""
+def persons(text: str, names: frozenset[str] = frozenset(), vetoed: frozenset[str] = frozenset()):
+    """(start, end, kind) of names: learned ones, after a title, from a listed given name on, after a cue (and what is joined to it) unless vetoed, and every later bare mention of a surname so found."""
     found: dict[tuple[int, int], str] = {}
+    listed = {n for names_ in GIVEN.values() for n in names_}
 
     def take(m: re.Match, at_least: int) -> int:
         """The words of a match that are names, up to the first that is none; the end of the last."""
@@ -269,29 +272,41 @@ def persons(text: str):
             return 0
         for g in range(1, n + 1):
             span = m.span(g)
-            kind = "given" if g == 1 and any(m.group(g).lower() in names for names in GIVEN.values()) else "surname"
+            kind = "given" if g == 1 and m.group(g).lower() in listed else "surname"
             found.setdefault(span, kind)
         return m.end(n)
 
+    told = {}
+    for s, e, *_ in learned.runs(text, set(TITLES)) if names or vetoed else ():
+        run = learned.name_of(text[s:e])
+        if run in names:
+            for k, w in enumerate(re.finditer(r"[^ ]+", run)):
+                found[s + w.start(), s + w.end()] = "given" if k == 0 and w.group().lower() in listed else "surname"
+        elif run in vetoed:
+            told.update({s + w.start(): e for w in re.finditer(r"[^ ]+", run)})
     for m in TITLED.finditer(text):
         take(m, 1)
     for m in GIVEN_NAME.finditer(text):
         take(m, 2)
     for m in CUED.finditer(text):
         at = m.end()
-        while (p := PAIR.match(text, at)) and p.group(1)[0].isupper() and p.group(2)[0].isupper() and (end := take(p, 2)):
+        while (p := PAIR.match(text, at)) and p.group(1)[0].isupper() and p.group(2)[0].isupper():
+            if (over := told.get(p.start())) and (p.start(), p.end(1)) not in found:
+                end = over
+            elif not (end := take(p, 2)):
+                break
             if not (n := NEXT.match(text, end)):
                 break
             at = n.end()
-    names = {text[s:e] for (s, e), kind in found.items() if kind == "surname" and e - s >= 3 and text[s].isupper()}
-    if names:
+    bare = {text[s:e] for (s, e), kind in found.items() if kind == "surname" and e - s >= 3 and text[s].isupper()}
+    if bare:
         for m in re.finditer(_WORD, text):
-            if m.group() in names or m.group().endswith("'s") and m.group()[:-2] in names:
+            if m.group() in bare or m.group().endswith("'s") and m.group()[:-2] in bare:
                 found.setdefault((m.start(), m.end() - 2 * m.group().endswith("'s")), "surname")
     return [(s, e, kind) for (s, e), kind in sorted(found.items())]
 
 
-def entities(text: str) -> list[tuple[int, int, str]]:
+def entities(text: str, names: frozenset[str] = frozenset(), vetoed: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all entities in order; of overlapping ones the first kind in the list wins."""
     found: list[tuple[int, int, str]] = []
     taken = bytearray(len(text))
@@ -307,7 +322,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         for m in pattern.finditer(text):
             if good is None or good(m.group()):
                 add(*m.span(), kind)
-    for s, e, kind in persons(text):
+    for s, e, kind in persons(text, names, vetoed):
         add(s, e, kind)
     return sorted(found)
 
@@ -326,9 +341,23 @@ def _kind(kind: str) -> str:
     return {"given": "person", "surname": "person", "iban": "id", "national": "id"}.get(kind, kind)
 
 
+LEARNED = ("names", "vetoed")
 ENTITY = pa.schema([("kind", pa.string()), ("original", pa.string()), ("surrogate", pa.string())])
 
 
+def marked(part: pa.RecordBatch):
+    """(row, text, entities) of the rows that may have some; learned runs come in the columns names and vetoed where there are any."""
+    column = part.column("text")
+    may = pc.match_substring_regex(pc.fill_null(column, ""), HINT).to_numpy(zero_copy_only=False)
+    has = "names" in part.schema.names
+    if has:
+        may = may | (pc.fill_null(pc.list_value_length(part.column("names")), 0).to_numpy(zero_copy_only=False) > 0)
+    for i in map(int, np.flatnonzero(may)):
+        t = column[i].as_py()
+        known = [frozenset(part.column(c)[i].as_py() or ()) for c in ("names", "vetoed")] if has else []
+        yield i, t, entities(t, *known)
+
+
 def entity_table(docs: DataFrame, key: bytes) -> DataFrame:
     """(kind, original, surrogate): every different entity of all texts, by canonical value."""
 
@@ -337,14 +366,12 @@ def entity_table(docs: DataFrame, key: bytes) -> DataFrame:
         for batch in batches:
             seen = set()
             for part in slices(batch, "text", 8 << 20):
-                column = pc.fill_null(part.column("text"), "")
-                for i in np.flatnonzero(pc.match_substring_regex(column, HINT).to_numpy(zero_copy_only=False)):
-                    t = column[i].as_py()
-                    seen.update((k, canonical(k, t[s:e])) for s, e, k in entities(t))
+                for _, t, found in marked(part):
+                    seen.update((k, canonical(k, t[s:e])) for s, e, k in found)
             rows = sorted(seen)
             yield string_batch(ENTITY, kind=[k for k, _ in rows], original=[v for _, v in rows], surrogate=[names.of(k, v) for k, v in rows])
 
-    return docs.select("text").mapInArrow(lean(run), "kind string, original string, surrogate string").distinct()
+    return docs.select("text", *(c for c in LEARNED if c in docs.columns)).mapInArrow(lean(run), "kind string, original string, surrogate string").distinct()
 
 
 def collisions(table: DataFrame) -> DataFrame:
@@ -359,6 +386,7 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KI
 
 def pseudonymised(docs: DataFrame, secret: str, versions: int = 5) -> DataFrame:
     """(doc_id, counts per kind, spans, text with surrogates) of each row of (doc_id, text)."""
+    docs = learned.with_names(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), set(TITLES), [n for names in GIVEN.values() for n in names])
     for version in range(versions):
         key = hashlib.sha256(f"{secret}|{version}".encode()).digest()
         if not collisions(entity_table(docs, key)).limit(1).count():
@@ -373,18 +401,16 @@ def pseudonymised(docs: DataFrame, secret: str, versions: int = 5) -> DataFrame:
                 column = part.column("text")
                 counts = np.zeros((len(KINDS), part.num_rows), np.int64)
                 spans, changed = [""] * part.num_rows, {}
-                for i in np.flatnonzero(pc.match_substring_regex(pc.fill_null(column, ""), HINT).to_numpy(zero_copy_only=False)):
-                    t = column[i].as_py()
-                    found = entities(t)
+                for i, t, found in marked(part):
                     if found:
                         for k, n in Counter(_kind(k) for _, _, k in found).items():
                             counts[KINDS.index(k), i] = n
                         spans[i] = ",".join(f"{_kind(k)}:{s}:{e}" for s, e, k in found)
-                        changed[int(i)] = replaced(t, found, names)
+                        changed[i] = replaced(t, found, names)
                 if changed:
                     mask = np.zeros(part.num_rows, bool)
                     mask[list(changed)] = True
                     column = pc.replace_with_mask(column, pa.array(mask), pa.array(list(changed.values()), column.type))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c) for c in counts), pa.array(spans), column.cast(pa.string())], schema=SCHEMA)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", spans string, text string")
+    return docs.mapInArrow(lean(run), "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", spans string, text string")
