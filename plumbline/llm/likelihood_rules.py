@@ -8,7 +8,8 @@ the share of good ones lost is greatest (ties: the middle). Scores meet the thre
 
 Defined cases: a null text has no words; a text without words has the score 0 and fails the base rules; repeated rows each count
 and each get a row; several labels of one id count as the lowest, null labels and ids as none; without trusted documents, or
-without both kinds among the documents for the threshold, only the base rules decide. Only doc_id and text are read.
+without both kinds among the documents for the threshold, only the base rules decide. Only doc_id and text are read. Every labelled
+id outside the unread fold takes part, however many there are: the texts of a fold meet them in a shuffle.
 """
 
 from __future__ import annotations
@@ -20,13 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, U64, WordHasher, crc_mod, lean, mix, padded, raw_text, rolling, slices, string_batch, words
+from .common import NOT_SPACE, U64, WordHasher, crc_mod, cut, lean, mix, padded, raw_text, rolling, shuffles_dropped, slices, string_batch, words
 
 BUCKETS = 1 << 16
 #: Added to each bucket's expected and found number of trusted n-grams.
 PSEUDO = 4.0
-#: Labelled ids of each kind that fit and threshold use, about (chosen by hash; broadcast, some 100 bytes each).
-PER_LABEL = 1 << 16
 #: Labels are dealt by crc32 of the id mod 5: one part is never read, one sets the threshold, the others count.
 FOLDS, UNSEEN, THRESHOLD_FOLD = 5, 0, 4
 #: Bins of the threshold's histogram a unit of score, and the score beyond which all count alike.
@@ -119,13 +118,15 @@ def best_cut(bins: np.ndarray, good: np.ndarray, bad: np.ndarray, loss_weight: f
     return float(edge[run[len(run) // 2]]) / STEPS
 
 
-def labelled(labels: DataFrame, per_label: int) -> DataFrame:
-    """(doc_id, good, fold) of about `per_label` ids of each kind, the lowest by hash."""
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, good, fold) of every labelled id outside the unread fold."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
-    marks = marks.withColumn("fold", crc_mod(F.col("doc_id"), FOLDS).cast("int")).where(F.col("fold") != UNSEEN)
-    count, span = {r[0]: r[1] for r in marks.groupBy("good").count().collect()}, 1 << 30
-    share = lambda y: F.lit(int(span * min(1.0, per_label / max(1, count.get(y, 0)))))
-    return marks.where(F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(span)) < F.when(F.col("good"), share(True)).otherwise(share(False)))
+    return marks.withColumn("fold", crc_mod(F.col("doc_id"), FOLDS).cast("int")).where(F.col("fold") != UNSEEN)
+
+
+def _marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows (doc_id, text) of the ids of `marks`; the texts need no sorting."""
+    return rows.join(marks.hint("shuffle_hash"), "doc_id")
 
 
 @dataclass
@@ -134,31 +135,34 @@ class Rule:
     threshold: float | None
 
 
-def fit_rule(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, loss_weight: float = 10.0) -> Rule:
-    """Ratios from all documents and the trusted ones among them, and the threshold."""
-    marks = labelled(labels, per_label)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    trusted = F.coalesce(F.col("good") & (F.col("fold") != THRESHOLD_FOLD), F.lit(False)).alias("trusted")
-    marked = rows.join(F.broadcast(marks), "doc_id", "left").select("text", trusted)
+def _counted(texts: DataFrame) -> np.ndarray:
+    """The n-grams of all texts by bucket."""
 
     def count(batches):
-        hasher, total = WordHasher(), np.zeros((2, BUCKETS), np.int64)
+        hasher, total = WordHasher(), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                t = analysed(part.column("text"), hasher)
-                total[0] += np.bincount(t.bucket, minlength=BUCKETS)
-                ours = np.asarray(part.column("trusted"))[t.owner]
-                total[1] += np.bincount(t.bucket[ours], minlength=BUCKETS)
-        at = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(x[at], pa.int64()) for x in total)], names=["bucket", "n", "m"])
-
-    got = marked.mapInArrow(lean(count), "bucket long, n long, m long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).toArrow()  # at most BUCKETS rows
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    at = np.asarray(got.column("bucket"))
-    raw[at], target[at] = np.asarray(got.column("n")), np.asarray(got.column("m"))
-    if not target.sum():
+                total += np.bincount(analysed(part.column("text"), hasher).bucket, minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
+
+    got = texts.select("text").mapInArrow(lean(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
+    out = np.zeros(BUCKETS, np.int64)
+    out[np.asarray(got.column("bucket"))] = np.asarray(got.column("n"))
+    return out
+
+
+def fit_rule(docs: DataFrame, labels: DataFrame, loss_weight: float = 10.0) -> Rule:
+    """Ratios from all documents and all trusted ones among them, and the threshold from all labelled ones of its fold."""
+    marks = cut(labelled(labels))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    tries = F.col("fold") == THRESHOLD_FOLD
+    fold = crc_mod(F.col("doc_id"), FOLDS)
+    with shuffles_dropped(docs.sparkSession):
+        trusted = _counted(_marked(rows.where((fold != UNSEEN) & (fold != THRESHOLD_FOLD)), marks.where(F.col("good") & ~tries)))
+    if not trusted.sum():
         return Rule(None, None)
-    ratios = likelihood_ratios(raw, target)
+    ratios = likelihood_ratios(_counted(rows), trusted)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def place(batches):
@@ -169,8 +173,9 @@ def fit_rule(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, los
                 step = np.clip(np.floor(scores(t, shared.value) * STEPS), -WIDEST * STEPS, WIDEST * STEPS).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(step), part.column("good")], names=["step", "good"]).filter(pa.array(~t.failed))
 
-    tried = rows.join(F.broadcast(marks.where(F.col("fold") == THRESHOLD_FOLD)), "doc_id").select("text", "good")
-    found = tried.mapInArrow(lean(place), "step int, good boolean").groupBy("step").agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")).toArrow()  # at most the histogram's bins
+    with shuffles_dropped(docs.sparkSession):
+        tried = _marked(rows.where(fold == THRESHOLD_FOLD), marks.where(tries)).select("text", "good")
+        found = tried.mapInArrow(lean(place), "step int, good boolean").groupBy("step").agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")).toArrow()  # at most the histogram's bins
     column = lambda name: np.asarray(found.column(name)).astype(np.int64)
     return Rule(ratios, best_cut(column("step"), column("good"), column("bad"), loss_weight))
 

@@ -13,6 +13,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import likelihood_rules, queries, runs, vector_codes
 from plumbline.llm.common import CHUNK_BYTES, WordHasher, read
@@ -96,6 +97,18 @@ def test_rule_on_unseen_labels(spark):
     assert sum(good) / len(good) >= 0.98 and sum(bad) / len(bad) <= 0.1
 
 
+def test_rule_from_every_label(spark):
+    """A hundred thousand trusted ids: all of the counting folds count."""
+    n = 150_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "one two").otherwise("one three").alias("text"))
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, 1).when(F.col("doc_id") % 3 == 1, 0).alias("quality")).union(docs.selectExpr("doc_id", "1").where("doc_id % 3 = 2"))
+    ids = np.arange(n)
+    trusted = (ids % 3 != 1) & np.isin([zlib.crc32(str(d).encode()) % 5 for d in range(n)], (1, 2, 3))
+    grams = [np.bincount(likelihood_rules.analysed(pa.array([t]), WordHasher()).bucket, minlength=likelihood_rules.BUCKETS) for t in ("one two", "one three")]
+    raw, target = (sum(np.count_nonzero(which & ((ids % 3 == 0) == (k == 0))) * g for k, g in enumerate(grams)) for which in (ids >= 0, trusted))
+    assert np.array_equal(likelihood_rules.fit_rule(docs, labels).ratios, likelihood_rules.likelihood_ratios(raw, target))
+
+
 def test_rule_defined_cases(spark, odd):  # noqa: F811
     kinds = "doc_id long, quality int, text string, good boolean"
     for marks in ([], [(0, 1, "x", True)], [(0, 0, "x", True), (1, 0, "x", None)], [(None, 1, None, None), (0, None, None, None), (7, 1, "", False), (7, 0, "", False)]):
