@@ -12,7 +12,10 @@ A document is its set of distinct word shingles, named by a 128-bit digest; equa
    of the other group's blocks: its overlap with a union bounds its overlap with every member. Only blocks that reach the bound are
    opened, and their members of fitting size are verified exactly. As only components are asked for, a set stops at its first link
    into the group's component: each round opens more blocks for the sets that are still outside, first in the group that
-   fills most of a signature, then in all others. No pair is left undecided unless it is needless.
+   fills most of a signature, then in all others of several blocks. No pair is left undecided unless it is needless.
+4. Loose sets. Groups of one block do not meet one by one: their sets are dealt, linked or not, into cells by the signature that
+   most of them share, and a set asks a cell. The cell knows the tokens that most of its sets have and, for each other token, which sets
+   have it: near copies of one original that are not near one another have few of those in common, and make no pair.
 
 Frequent tokens come from a bounded sample and only steer the signatures: any choice gives the same result. Defined cases: null
 texts and texts without words are empty and linked with nothing; a document of fewer words than the shingle is one shingle; null ids get the
@@ -27,7 +30,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_SPACE, U64, WordHasher, cut, few_rows, lean, mix, padded, raw_text, rolling, shuffle_partitions, slices, words
@@ -42,6 +45,8 @@ HOT_TOKENS = 1 << 18
 BROADCAST_IDS = 1_000_000
 #: Sets of a block of a group, and how many times more blocks each round opens.
 BLOCK_SETS, BLOCK_GROWTH = 16, 4
+#: Sets of a cell of small groups, and their tokens, about.
+CELL_SETS, CELL_TOKENS = 256, 1 << 20
 #: Tokens of a strong part, at least; one of them must not be frequent.
 STRONG = 1
 #: A group whose union is larger is always opened.
@@ -501,15 +506,99 @@ def _ask_largest(named: DataFrame) -> DataFrame:
     return cut(named.join(largest, "sig").where(F.col("group") != F.col("other")).select("id", F.col("other").alias("group"), F.col("of").alias("blocks")).distinct())
 
 
+def _fits(least: str, most: str) -> Column:
+    """Whether a set of n tokens can be similar to one of the sizes between two."""
+    return (F.col("n") * 5 >= F.col(least) * 4) & (F.col(most) * 5 >= F.col("n") * 4)
+
+
 def _ask_all(named: DataFrame, asked: DataFrame) -> DataFrame:
-    """(id, group): each set with every group of another component under a signature it shares that has members of fitting size there, from the side of the smaller group; `asked` ones are done."""
-    others = named.groupBy("sig", F.col("group").alias("other"), F.col("label").alias("component"), F.col("blocks").alias("of")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    """(id, group): each set with every group of several blocks and another component under a signature it shares that has members of fitting size there, from the side of the smaller group; `asked` ones are done."""
+    others = named.where("blocks > 1").groupBy("sig", F.col("group").alias("other"), F.col("label").alias("component"), F.col("blocks").alias("of")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     first = (F.col("blocks") < F.col("of")) | ((F.col("blocks") == F.col("of")) & (F.col("group") < F.col("other")))
-    fits = (F.col("n") * 5 >= F.col("least") * 4) & (F.col("most") * 5 >= F.col("n") * 4)
-    both = named.join(others, "sig").where((F.col("label") != F.col("component")) & first & fits)
+    both = named.join(others, "sig").where((F.col("label") != F.col("component")) & first & _fits("least", "most"))
     return cut(both.select("id", F.col("other").alias("group"), F.col("of").alias("blocks")).distinct().join(asked, ["id", "group"], "left_anti"))
 
 
+def _cells(loose: DataFrame) -> DataFrame:
+    """loose (sig, id, n, label) with the cell of each set: sets of the same largest signature, a few in each cell."""
+    many = loose.groupBy("sig").agg(F.count("*").alias("many"))
+    homes = loose.join(many, "sig").groupBy("id").agg(F.max_by("sig", F.struct("many", "sig")).alias("home"), F.first("n").alias("n"))
+    full = homes.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / CELL_SETS, F.sum("n") / CELL_TOKENS)).cast("int").alias("cells"))
+    cell = F.xxhash64("home", F.pmod(F.xxhash64("id", F.lit(11)), F.col("cells"))).alias("cell")
+    return cut(loose.join(homes.join(full, "home").select("id", cell), "id"))
+
+
+def _indexed(members: DataFrame) -> DataFrame:
+    """One row for each cell of (cell, id, label, n, tokens): its sets, the tokens that most of them have (`common`; `known`: how many of these a set has) and the others, each with the set that has it (`rare`, `who`)."""
+    numbers = ("ids", "labels", "sizes", "lengths", "known")
+    kind = "cell long, " + ", ".join(f"{c} binary" for c in (*numbers, "common", "rare", "who"))
+
+    def packed(cell: int, rows: list) -> pa.RecordBatch:
+        *who, sets = zip(*rows, strict=True)
+        length = np.array([len(t) for t in sets], np.int64)
+        owner, tokens = np.repeat(np.arange(len(sets), dtype=np.int32), length), np.concatenate(sets)
+        union, at, n = np.unique(tokens, return_inverse=True, return_counts=True)
+        frequent = (2 * n > len(sets))[at]
+        order = np.argsort(tokens[~frequent], kind="stable")
+        columns = [*(np.array(x, np.int64) for x in who), length, np.bincount(owner[frequent], minlength=len(sets)).astype(np.int64), union[2 * n > len(sets)], tokens[~frequent][order], owner[~frequent][order]]
+        return pa.RecordBatch.from_pydict({"cell": pa.array([cell], pa.int64())} | {c: pa.array([x.tobytes()], pa.binary()) for c, x in zip((*numbers, "common", "rare", "who"), columns, strict=True)})
+
+    def run(batches):
+        cell, held = None, []
+        for batch in batches:
+            for c, *row, t in zip(*(batch.column(x).to_pylist() for x in ("cell", "id", "label", "n")), batch.column("tokens"), strict=True):
+                if c != cell and held:
+                    yield packed(cell, held)
+                    held = []
+                cell = c
+                held.append((*row, np.frombuffer(t.as_buffer(), np.uint32).copy()))
+        if held:
+            yield packed(cell, held)
+
+    some = members.select("cell", "id", "label", "n", "tokens").repartition(shuffle_partitions(members.sparkSession), "cell").sortWithinPartitions("cell")
+    return some.mapInArrow(lean(run), kind)
+
+
+def _cell_pairs(asks: DataFrame, sets: DataFrame, index: DataFrame) -> DataFrame:
+    """The pairs (x, y) of a set of `asks` (id, label, cell) and a set of its cell that has another label and that the index does not rule out, by the bound of `pruned`."""
+    one = asks.withColumnRenamed("label", "mine").join(_wanted(sets, asks, "id").select("id", F.col("n").alias("nx"), F.col("sketch").alias("sx")), "id")
+    both = one.join(index, "cell")
+
+    def run(batches):
+        for batch in few_rows(batches, "rare"):
+            ids, mine, n = (batch.column(c).to_numpy() for c in ("id", "mine", "nx"))
+            for i in range(batch.num_rows):
+                col = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), kind)  # noqa: B023, E731
+                x, common, rare, who = col("sx", np.uint32), col("common", np.uint32), col("rare", np.uint32), col("who", np.int32)
+                y, label, m, length, known = (col(c, np.int64) for c in ("ids", "labels", "sizes", "lengths", "known"))
+                at = np.searchsorted(x, rare)
+                at[at == len(x)] = 0
+                shared = np.minimum(_common(x, common), known) + np.bincount(who[x[at] == rare], minlength=len(y))
+                least = 4 * (n[i] + m)
+                good = (label != mine[i]) & (9 * (len(x) - shared) <= 9 * n[i] - least) & (9 * (length - shared) <= 9 * m - least)
+                if good.any():
+                    near = y[good]
+                    yield pa.RecordBatch.from_pydict({"x": pa.array(np.minimum(near, ids[i])), "y": pa.array(np.maximum(near, ids[i]))})
+
+    return both.mapInArrow(lean(run), "x long, y long")
+
+
+def _loose_linked(named: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Labels after the sets of groups of one block have met: each set asks every cell with sets of another component and of fitting size under a signature it shares; of two cells, the sets of one ask the other."""
+    loose = _cells(named.where("blocks = 1").select("sig", "id", "n", "label"))
+    others = loose.groupBy("sig", F.col("cell").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("low"), F.max("label").alias("high"))
+    foreign = (F.col("low") != F.col("label")) | (F.col("high") != F.col("label"))
+    both = loose.join(others, "sig").where((F.col("cell") <= F.col("other")) & foreign & _fits("least", "most"))
+    asks = cut(both.select("id", "label", F.col("other").alias("cell")).distinct())
+    if not asks.limit(1).count():
+        return labels
+    held = cut(loose.select("id", "cell", "label").distinct())
+    index = cut(_indexed(_wanted(sets, held, "id").select("id", "n", F.col("sketch").alias("tokens")).join(held, "id")))
+    pairs = cut(_cell_pairs(asks, sets, index).distinct())
+    new = cut(verified(cut(pruned(pairs, sets)), sets))
+    return _merged(labels, new) if new.limit(1).count() else labels
+
+
 def _answered(asks: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Labels after each set of `asks` has been held against its group: blocks of the group are opened, more in each round, until the set is in the group's component or no block is left."""
     need = cut(labels.join(asks.select("group").distinct(), "group", "left_semi").select("id", "cell"))
@@ -552,7 +641,9 @@ def joined(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     labels = _grouped(_merged(labels, links))
     asks = _ask_largest(_mixed(members, labels))
     labels = _answered(asks, labels, sets)
-    labels = _answered(_ask_all(_mixed(members, labels), asks.select("id", "group")), labels, sets)
+    named = _mixed(members, labels)
+    labels = _answered(_ask_all(named, asks.select("id", "group")), labels, sets)
+    labels = _loose_linked(named, labels, sets)
 
     at = nodes.join(labels.select("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     least = at.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("size"))

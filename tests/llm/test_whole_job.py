@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import line_dedup, queries
+from plumbline.llm import jaccard, line_dedup, queries
 
 from . import brute
 
@@ -77,3 +77,25 @@ def test_steps_equal_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(lines)), DOCS)
     out = line_dedup.dedup_lines(df, line_dedup.JOB_STEPS, line_dedup.JOB_CHARS, dropped="gone", collapse=True).where(F.size("gone") > 0)
     assert {r["doc_id"] for r in out.collect()} == {i for i in range(len(lines)) if root(i) != i}
+
+
+def test_copies_not_near_one_another(spark, monkeypatch):
+    """400 near copies of one text, each beyond the threshold from it and from one another, and five that have a near copy of their own: no table grows with the square of their number, and the five are found."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for k in range(400):
+        words = list(base)
+        for at in rng.sample(range(len(words)), 13):
+            words[at] = f"x{k}y{at}"
+        texts.append(words)
+    for k in range(5):
+        words = list(texts[80 * k])
+        words[150] = f"z{k}"
+        texts.append(words)
+    docs = spark.createDataFrame([(k, " ".join(words)) for k, words in enumerate(texts)], DOCS)
+    written, write = [], jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df: written.append(write(df)) or written[-1])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.joined(docs).collect()}
+    assert got == {k: 80 * (k - 400) if k >= 400 else k for k in range(405)}
+    assert max(df.count() for df in written if "sig" not in df.columns) < 20 * len(texts)
