@@ -41,7 +41,7 @@ SHINGLE = 5
 SIG_BYTES = 5
 BUCKET_SIGNATURES = 1_000_000
 HOT_TOKENS = 1 << 18
-#: Ids of sets that may be broadcast, 8 bytes each.
+#: Rows of ids of sets and a few longs that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Sets of a block of a group, and how many times more blocks each round opens.
 BLOCK_SETS, BLOCK_GROWTH = 16, 4
@@ -334,10 +334,21 @@ def token_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int,
                 yield pa.RecordBatch.from_pydict({"id": pa.array(names), "doc_id": part.column("doc_id"), "n": pa.array(np.diff(bounds), pa.int64()), "sketch": pa.array(sketches, pa.binary()), "tokens": pa.array([t.tobytes() for t in each], pa.binary())})
 
     spot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - power)
+    # equal ids of documents are asked for after the join: a key of both columns would cost a second shuffle
+    row = F.col("__doc").bitwiseXOR(F.col("doc_id")) == 0
     sets = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", spot.alias("spot")).mapInArrow(lean(run), "id long, doc_id long, n long, sketch binary, tokens binary")
-    # one shuffle by id serves the join and the choice of one row
-    chosen = sets.withColumnRenamed("doc_id", "__doc").join(need, "id").where(F.col("__doc") == F.col("doc_id"))
-    return cut(chosen.dropDuplicates(["id"]).select("id", "n", "sketch", "tokens"))
+    chosen = cut(sets.withColumnRenamed("doc_id", "__doc").join(_told(need), "id").where(row).select("id", "n", "sketch", "tokens"))
+    # only repeated rows give a set twice
+    again = cut(chosen.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"))
+    if not again.limit(1).count():
+        return chosen
+    once = chosen.join(_told(again), "id", "left_semi").dropDuplicates(["id"])
+    return cut(chosen.join(_told(again), "id", "left_anti").union(once))
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """rows, a written table, to be broadcast where they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -355,9 +366,17 @@ def _wanted(sets: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
     return sets.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= BROADCAST_IDS else sets
 
 
+def _with_sets(rows: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    """rows, a written table, with the columns of their sets, which `key` names in both: few rows are sent to the sets, so that no set is shuffled for them."""
+    if rows.count() <= BROADCAST_IDS:
+        return sets.join(F.broadcast(rows), key)
+    ids = rows.select(key).distinct()
+    return rows.join(sets.join(F.broadcast(ids), key, "left_semi") if ids.count() <= BROADCAST_IDS else sets, key)
+
+
 def pruned(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (x, y), a written table, that their sketches do not rule out: similar sets of a and b tokens leave at most a - 4 (a + b) / 9 tokens of x outside y, and shortened tokens never count more."""
-    one = pairs.join(_wanted(sets, pairs, "x").select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx")), "x")
+    one = _with_sets(pairs, sets.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx")), "x")
     both = one.where(F.col("nx").isNotNull()).join(_wanted(sets, pairs, "y").select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy")), "y")
     fit = both.where((F.col("nx") * 5 >= F.col("ny") * 4) & (F.col("ny") * 5 >= F.col("nx") * 4))
 
@@ -378,7 +397,7 @@ def pruned(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (x, y) with 100 * intersection >= 80 * union; pairs are a written table."""
-    one = pairs.join(_wanted(sets, pairs, "x").select(F.col("id").alias("x"), F.col("tokens").alias("tx")), "x")
+    one = _with_sets(pairs, sets.select(F.col("id").alias("x"), F.col("tokens").alias("tx")), "x")
     both = one.join(_wanted(sets, pairs, "y").select(F.col("id").alias("y"), F.col("tokens").alias("ty")), "y")
 
     def run(batches):
@@ -396,7 +415,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def opened(asked: DataFrame, sets: DataFrame, unions: DataFrame) -> DataFrame:
     """(id, label, most) where the union of the group does not rule out every member; `most` is the largest size of a member that could still be similar. A group too large for a union is opened."""
-    one = asked.join(_wanted(sets, asked, "id").select("id", F.col("n").alias("nx"), F.col("sketch").alias("sx")), "id")
+    one = _with_sets(asked, sets.select("id", F.col("n").alias("nx"), F.col("sketch").alias("sx")), "id")
     both = one.where(F.col("nx").isNotNull()).join(unions.select("label", "tokens"), "label")
 
     def run(batches):
@@ -468,8 +487,8 @@ def _unions(members: DataFrame) -> DataFrame:
 
 def _links_to_leads(members: DataFrame) -> DataFrame:
     """Pairs (x, y) to test: each set with two leads of the signatures it shares; under each signature the set of the most signatures leads, as the likeliest original of a family of copies."""
-    degree = members.groupBy("id").agg(F.count("*").alias("degree"))
-    named = members.join(degree, "id")
+    degree = cut(members.groupBy("id").agg(F.count("*").alias("degree")))
+    named = members.join(_told(degree), "id")
     heads = named.groupBy("sig").agg(F.min_by("id", F.struct(-F.col("degree"), F.xxhash64("id"))).alias("lead"))
     order = F.xxhash64("lead", "id")
     best = named.join(heads, "sig").where(F.col("id") != F.col("lead")).groupBy(F.col("id").alias("y")).agg(F.min_by("lead", order).alias("a"), F.max_by("lead", order).alias("b"))
@@ -494,7 +513,7 @@ def _grouped(labels: DataFrame) -> DataFrame:
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(sig, id, n, label, group, blocks) of the signatures that still hold several components."""
-    named = members.join(labels.select("id", "n", "label", "group", "blocks"), "id")
+    named = members.join(_told(labels.select("id", "n", "label", "group", "blocks")), "id")
     mixed = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("sig")
     return cut(named.join(mixed, "sig", "left_semi"))
 
@@ -561,7 +580,7 @@ def _indexed(members: DataFrame) -> DataFrame:
 
 def _cell_pairs(asks: DataFrame, sets: DataFrame, index: DataFrame) -> DataFrame:
     """The pairs (x, y) of a set of `asks` (id, label, cell) and a set of its cell that has another label and that the index does not rule out, by the bound of `pruned`."""
-    one = asks.withColumnRenamed("label", "mine").join(_wanted(sets, asks, "id").select("id", F.col("n").alias("nx"), F.col("sketch").alias("sx")), "id")
+    one = _with_sets(asks.withColumnRenamed("label", "mine"), sets.select("id", F.col("n").alias("nx"), F.col("sketch").alias("sx")), "id")
     both = one.join(index, "cell")
 
     def run(batches):
@@ -593,7 +612,7 @@ def _loose_linked(named: DataFrame, labels: DataFrame, sets: DataFrame) -> DataF
     if not asks.limit(1).count():
         return labels
     held = cut(loose.select("id", "cell", "label").distinct())
-    index = cut(_indexed(_wanted(sets, held, "id").select("id", "n", F.col("sketch").alias("tokens")).join(held, "id")))
+    index = cut(_indexed(_with_sets(held, sets.select("id", "n", F.col("sketch").alias("tokens")), "id")))
     pairs = cut(_cell_pairs(asks, sets, index).distinct())
     new = cut(verified(cut(pruned(pairs, sets)), sets))
     return _merged(labels, new) if new.limit(1).count() else labels
@@ -602,7 +621,7 @@ def _loose_linked(named: DataFrame, labels: DataFrame, sets: DataFrame) -> DataF
 def _answered(asks: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Labels after each set of `asks` has been held against its group: blocks of the group are opened, more in each round, until the set is in the group's component or no block is left."""
     need = cut(labels.join(asks.select("group").distinct(), "group", "left_semi").select("id", "cell"))
-    unions = cut(_unions(_wanted(sets, need, "id").select("id", F.col("sketch").alias("tokens")).join(need, "id").select(F.col("cell").alias("label"), "tokens")))
+    unions = cut(_unions(_with_sets(need, sets.select("id", F.col("sketch").alias("tokens")), "id").select(F.col("cell").alias("label"), "tokens")))
     low, high = 0, 1
     while True:
         own, theirs = labels.select("id", "label"), labels.groupBy("group").agg(F.min("label").alias("component"))
@@ -639,9 +658,10 @@ def joined(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     labels = sets.select("id", "n", F.col("id").alias("label"))
     links = cut(verified(cut(pruned(cut(_links_to_leads(members)), sets)), sets))
     labels = _grouped(_merged(labels, links))
-    asks = _ask_largest(_mixed(members, labels))
-    labels = _answered(asks, labels, sets)
     named = _mixed(members, labels)
+    asks = _ask_largest(named)
+    labels = _answered(asks, labels, sets)
+    named = _mixed(named.select("sig", "id"), labels)  # components only grow, so no other signatures are left
     labels = _answered(_ask_all(named, asks.select("id", "group")), labels, sets)
     labels = _loose_linked(named, labels, sets)
 

@@ -99,3 +99,33 @@ def test_copies_not_near_one_another(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in jaccard.joined(docs).collect()}
     assert got == {k: 80 * (k - 400) if k >= 400 else k for k in range(405)}
     assert max(df.count() for df in written if "sig" not in df.columns) < 20 * len(texts)
+
+
+@pytest.mark.parametrize(("few", "most"), [(1_000_000, 0), (0, 1)])
+def test_sets_are_shuffled_once_at_most(spark, monkeypatch, few, most):
+    """Sets of tokens do not move to be chosen where their ids are few, and once where they are many; repeated rows give one set."""
+    rng = random.Random(11)
+    docs = []
+    for k in range(12):
+        base = [f"w{rng.randrange(500)}" for _ in range(60)]
+        docs += [(10 * k + j, " ".join(base[:59] + [f"x{k}{j}"])) for j in range(4)]
+    docs += docs[:7]
+    plans, write = [], jaccard.cut
+
+    def seen(df):
+        if "tokens" in df.columns and "sketch" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(jaccard, "cut", seen)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", few)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = jaccard.joined(spark.createDataFrame(docs, DOCS)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((i, i // 10 * 10) for i, _ in docs)
+    # the first table of sets, and how often its big columns are dealt anew
+    moved = [line for line in plans[0].splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) <= 2 * most, plans[0]
