@@ -9,7 +9,7 @@ shorter of two lines decides. Three levels find the candidates, and banded bit-p
    from the right, and is read from the nearer end. Segment lengths follow a length class, not the length, so that one
    entry serves lines of all lengths of its class; a line just above a class enters the class below too.
 2. Under each shared segment all lines are held against one lead and joined by what is verified. Segments that then
-   still hold several classes are paired line by line if they hold few lines.
+   still hold several classes are paired line by line if they hold few lines; only pairs with nearly the same counts of signs are kept.
 3. The others are split further: the place of the edits is narrowed piece by piece (all outside must be equal) until a few code points
    are left, and their deletion neighbourhood is the last key. What all lines of a key have in common at the ends of a piece is
    taken off before it is split, and a state carries only what is left: lines that differ in a number inside a long common template
@@ -43,6 +43,8 @@ JOB_STEPS = ((0, 1), (20, 2))
 BROADCAST_ROWS = 200_000
 #: A key of several classes with more lines is split further.
 FEW_LINES = 16
+#: The same for the states of lines, where a pair meets about once: up to here the counts of signs are compared pair by pair.
+FEW_STATES = 256
 #: Pieces into which a gap is split, and the length from which its deletion neighbourhood is taken instead.
 PIECES, LAST_GAP = 3, 8
 
@@ -175,6 +177,11 @@ def edits_between(x: Column, y: Column, edits: int) -> Column:
     return F.when(F.abs(more) <= edits, bound(common_start(x, y), without_start))
 
 
+def _alike(most: int) -> Column:
+    """Whether the counts of signs (sx, sy) of two lines allow so few edits: an edit changes the counts of two signs by one."""
+    return reduce(Column.__add__, [F.abs(F.col("sx")[i] - F.col("sy")[i]) for i in range(len(SIGNS))]) <= 2 * most
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: Threshold) -> DataFrame:
     """The pairs (x, y) of line names, both structs, whose lines are within the threshold."""
     most = most_edits(threshold)
@@ -182,8 +189,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: Threshold) -> DataF
         return pairs.limit(0)
     keyed = texts.select(F.struct(*KEY).alias("key"), "line", "signs")
     both = pairs.join(keyed.withColumnsRenamed({"key": "x", "line": "lx", "signs": "sx"}), "x").join(keyed.withColumnsRenamed({"key": "y", "line": "ly", "signs": "sy"}), "y")
-    # an edit changes the counts of two signs by one
-    both = both.where(reduce(Column.__add__, [F.abs(F.col("sx")[i] - F.col("sy")[i]) for i in range(len(SIGNS))]) <= 2 * most)
+    both = both.where(_alike(most))
     return both.where(edits_between(F.col("lx"), F.col("ly"), most) <= allowed(F.least(F.length("lx"), F.length("ly")), threshold)).select("x", "y")
 
 
@@ -281,12 +287,13 @@ def _against_lead(rows: DataFrame) -> DataFrame:
     return rows.select("h", key.alias("y")).join(lead, "h").where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def _each_pair(rows: DataFrame) -> DataFrame:
-    """Pairs (x, y) of lines of different labels under the keys of `rows`, which hold few lines or near ones only."""
-    key = F.struct(*KEY)
-    left = rows.where("own").select("h", key.alias("x"), F.col("label").alias("lx"))
-    right = rows.select("h", key.alias("y"), F.col("label").alias("ly"))
-    return left.join(right, "h").where(F.col("lx") != F.col("ly")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+def _each_pair(rows: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """Pairs (x, y) of lines of different labels and like signs under the keys of `rows`, which hold few lines or near ones only."""
+    key, rows = F.struct(*KEY), rows.join(texts.select(*KEY, "signs"), KEY)
+    left = rows.where("own").select("h", key.alias("x"), F.col("label").alias("lx"), F.col("signs").alias("sx"))
+    right = rows.select("h", key.alias("y"), F.col("label").alias("ly"), F.col("signs").alias("sy"), "own")
+    once = ~F.col("own") | (F.col("x") < F.col("y"))  # two lines with an own entry would meet twice
+    return left.join(right, "h").where((F.col("lx") != F.col("ly")) & once & _alike(most)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -306,22 +313,21 @@ def similar_lines(shared: DataFrame, texts: DataFrame, threshold: Threshold) ->
     mixed = cut(_mixed(rows))
     under = lambda rows, keys: rows.join(keys.select("h"), "h", "left_semi")
     few, last = [under(rows, mixed.where(F.col("n") <= FEW_LINES)).select("h", *KEY, "label", "own")], []
-    states = _first_gaps(under(rows, mixed.where(F.col("n") > FEW_LINES)).select(*KEY, "label").distinct().join(texts, KEY), threshold)
-    hot = 1
-    while hot:
-        states = cut(_split(states, most))
+    states = cut(_first_gaps(under(rows, mixed.where(F.col("n") > FEW_LINES)).select(*KEY, "label").distinct().join(texts, KEY), threshold))
+    while True:
         mixed, done = cut(_mixed(states)), F.size("gaps") == 0
-        few.append(under(states.where(~done), mixed.where(F.col("n") <= FEW_LINES)).select("h", *KEY, "label", "own"))
+        few.append(under(states.where(~done), mixed.where(F.col("n") <= FEW_STATES)).select("h", *KEY, "label", "own"))
         last.append(under(states.where(done), mixed).select("h", *KEY, "label", "own"))
-        many = mixed.where(F.col("open") & (F.col("n") > FEW_LINES))
-        hot = many.limit(1).count()
-        states = _trimmed(cut(under(states, many)), most) if hot else states
+        many = mixed.where(F.col("open") & (F.col("n") > FEW_STATES))
+        if not many.limit(1).count():
+            break
+        states = cut(_split(_trimmed(cut(under(states, many)), most), most))
     # under the last keys there are near lines only: most of them are joined by the lead, the others pair by pair
     last = cut(reduce(DataFrame.union, last).distinct())
-    found.append(cut(_verified(_each_pair(reduce(DataFrame.union, few)).union(_against_lead(last)).distinct(), texts, threshold)))
+    found.append(cut(_verified(_each_pair(reduce(DataFrame.union, few), texts, most).union(_against_lead(last)).distinct(), texts, threshold)))
     if last.limit(1).count():
         last = cut(_labelled(last, components(every())))
-        found.append(cut(_verified(_each_pair(last.join(_mixed(last), "h", "left_semi")), texts, threshold)))
+        found.append(cut(_verified(_each_pair(last.join(_mixed(last), "h", "left_semi"), texts, most), texts, threshold)))
     return every()
 
 

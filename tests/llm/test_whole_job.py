@@ -129,3 +129,24 @@ def test_sets_are_shuffled_once_at_most(spark, monkeypatch, few, most):
     # the first table of sets, and how often its big columns are dealt anew
     moved = [line for line in plans[0].splitlines() if "Exchange hashpartitioning" in line]
     assert len(moved) <= 2 * most, plans[0]
+
+
+def test_states_of_lines_with_exchanged_words(spark, monkeypatch):
+    """600 lines of one template, each with two words of its own, and 20 copies with two edits: few states and pairs a line, all links found."""
+    rng = random.Random(6)
+    base = ["".join(rng.choice("adehinorst") for _ in range(6)) for _ in range(60)]
+    lines = []
+    for _ in range(600):
+        words = list(base)
+        for at in rng.sample(range(60), 2):
+            words[at] = "".join(rng.choice("adehinorst") for _ in range(6))
+        lines.append(" ".join(words))
+    copies = [line[:50] + "#" + line[51:200] + "#" + line[201:] for line in lines[::30]]
+    states, split, pairs, each = [], line_dedup._split, [], line_dedup._each_pair
+    monkeypatch.setattr(line_dedup, "_split", lambda *a: states.append(split(*a).count()) or split(*a))
+    monkeypatch.setattr(line_dedup, "_each_pair", lambda *a: pairs.append(each(*a).count()) or each(*a))
+    df = spark.createDataFrame(list(enumerate(lines + copies)), DOCS)
+    out = line_dedup.dedup_lines(df, line_dedup.JOB_STEPS, line_dedup.JOB_CHARS, dropped="gone", collapse=True).where(F.size("gone") > 0)
+    assert {r["doc_id"] for r in out.collect()} == set(range(600, 620))
+    assert sum(states) < 60 * len(lines)
+    assert sum(pairs) < 60 * len(lines)
