@@ -9,6 +9,8 @@ from __future__ import annotations
 import contextlib
 import contextvars
 import ctypes
+import gc
+import itertools
 import tempfile
 import uuid
 
@@ -46,6 +48,9 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 #: Removes the shuffle files of a query when it has ended, not when the driver next collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables written between two collections of the driver's garbage.
+TABLES_A_GC = 4
+_written = itertools.count(1)
 _tables: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("tables", default=None)
 
 
@@ -70,9 +75,18 @@ def cut(df: DataFrame) -> DataFrame:
         tables.append(path)
     with shuffles_dropped(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
+    if next(_written) % TABLES_A_GC == 0:
+        released(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Collect the driver's garbage: a job of hundreds of small queries leaves so much of it that its heap grows to the limit, and Spark clears the broadcasts of ended queries only then."""
+    gc.collect()
+    _give_back()
+    spark._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a written table, in whatever file system it is."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -102,13 +116,17 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            _give_back()
 
     return task
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def few_rows(batches, column: str, limit: int = 8 << 20):
     """Batches cut so that a binary column has about `limit` bytes in each (one row at least)."""
     for batch in batches:

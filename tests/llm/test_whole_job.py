@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import jaccard, line_dedup, queries
+from plumbline.llm import common, jaccard, line_dedup, queries
 
 from . import brute
 
@@ -150,3 +150,12 @@ def test_states_of_lines_with_exchanged_words(spark, monkeypatch):
     assert {r["doc_id"] for r in out.collect()} == set(range(600, 620))
     assert sum(states) < 60 * len(lines)
     assert sum(pairs) < 60 * len(lines)
+
+
+def test_driver_garbage_is_collected(spark, monkeypatch):
+    """Jobs of many written tables collect the driver's garbage on the way."""
+    calls = []
+    monkeypatch.setattr(common, "released", lambda s: calls.append(s))
+    for _ in range(2 * common.TABLES_A_GC):
+        common.cut(spark.range(1))
+    assert len(calls) == 2
