@@ -81,15 +81,15 @@ def mix_sources(docs: DataFrame, domain: Column, weights: DataFrame, share: floa
     plan = leaf_budgets(leaf, weights, F.lit(total * share), most_epochs)
     plan = plan.withColumn("whole", F.least(F.lit(most_epochs).cast("long"), F.floor((F.col("budget") + 1e-6) / F.col("tokens")))).withColumn("rest", F.col("budget") + 1e-6 - F.col("whole") * F.col("tokens"))
     plan = plan.withColumn("rest", F.when(F.col("whole") >= most_epochs, 0.0).otherwise(F.col("rest")))
-    plan = plan.select(*LEVELS, "whole", "rest")
+    plan = cut(plan.select(*LEVELS, "whole", "rest"))  # asked for four times below: the tree is planned and worked out once
     named = rows.join(F.broadcast(plan) if leaf.count() <= BROADCAST_LEAVES else plan, list(LEVELS))
     spot = F.xxhash64(F.lit(seed), F.col("whole"), F.col("doc_id"))
     named = named.withColumn("spot", spot).withColumn("slice", F.shiftrightunsigned("spot", 52).cast("int"))
 
     sums = named.groupBy(*LEVELS, "slice").agg(F.sum("n_tokens").alias("in_slice"), F.max("rest").alias("rest"))
     before = F.sum("in_slice").over(Window.partitionBy(*LEVELS).orderBy("slice")) - F.col("in_slice")  # at most SLICES rows a leaf
-    sums = sums.withColumn("before", before).where(F.col("before") <= F.col("rest")).select(*LEVELS, "slice", "before", (F.col("before") + F.col("in_slice") <= F.col("rest")).alias("inside"))
-    placed = named.join(sums, [*LEVELS, "slice"], "left")
+    sums = cut(sums.withColumn("before", before).where(F.col("before") <= F.col("rest")).select(*LEVELS, "slice", "before", (F.col("before") + F.col("in_slice") <= F.col("rest")).alias("inside")))
+    placed = named.join(sums.hint("merge"), [*LEVELS, "slice"], "left")  # a small file, but with many leaves too much for the driver
     edge = placed.where(~F.col("inside"))
     order = Window.partitionBy(*LEVELS, "slice").orderBy(F.col("spot").bitwiseXOR(F.lit(-(1 << 63))), "doc_id", "digest").rowsBetween(Window.unboundedPreceding, 0)
     edge = edge.withColumn("end", F.col("before") + F.sum("n_tokens").over(order)).where(F.col("end") <= F.col("rest"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import common, jaccard, line_dedup, queries
+from plumbline.llm import common, jaccard, line_dedup, mixing, queries
 
 from . import brute
 
@@ -159,3 +159,24 @@ def test_driver_garbage_is_collected(spark, monkeypatch):
     for _ in range(2 * common.TABLES_A_GC):
         common.cut(spark.range(1))
     assert len(calls) == 2
+
+
+def test_driver_heap_is_given_back(spark):
+    """A collection leaves no more of the driver's heap free than set, and the JVM's own setting stays."""
+    ratio = lambda: spark._jvm.java.lang.management.ManagementFactory.getPlatformMXBean(spark._jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean")).getVMOption("MaxHeapFreeRatio").getValue()
+    before, heap = ratio(), spark._jvm.Runtime.getRuntime()
+    spark._jvm.System.gc()
+    loose = heap.totalMemory()
+    common.released(spark)
+    assert ratio() == before
+    assert heap.totalMemory() < 0.75 * loose
+
+
+def test_mixing_plans_the_tree_once(spark):
+    """The budgets of the leaves are a table when the rows are chosen: the last plan does not hold the tree again for each use."""
+    rows = [(i, "a b c", "en", f"s{i % 3}") for i in range(30)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), queries.domain(), queries.weights_table(spark, queries.WEIGHTS), share=0.9)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 20
+    assert plan.count("Window") <= 4
+    assert plan.count("SortMergeJoin") == 2  # the slices, which grow with the leaves, are not broadcast
