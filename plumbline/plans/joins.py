@@ -130,14 +130,20 @@ def jn_fuzzy_names(t: Tables) -> DataFrame:
     return names.join(best, ["p_brand", "name"]).select("p_partkey", F.col("x.b").alias("match"), F.round(-F.col("x.s"), 4).alias("score"))
 
 
-def prefix5(t: Tables) -> DataFrame:
-    """The first customer of the key's nation whose 12-sign prefix the key contains: an equi-join on every part of the key that is as long as a prefix."""
-    keys = t.customer.select(F.concat_ws("_", F.lit("p"), "c_name", "c_nationkey", F.lit("1999")).alias("key"))
-    prefixes = t.customer.groupBy(F.col("c_nationkey").alias("nation"), F.substring("c_name", 1, 12).alias("prefix")).agg(F.min("c_custkey").alias("c_custkey"))
-    sizes = F.array(*[F.lit(r[0]) for r in prefixes.select(F.length("prefix")).distinct().collect()] or [F.lit(12)])  # 13 lengths at most
+def prefix5(t: Tables, few: int = 50_000) -> DataFrame:
+    """The first customer of the key's nation whose 12-sign prefix the key contains: an equi-join on every part of the key that is as long as a prefix.
+
+    Spark's estimates do not see how many parts a key has and would broadcast them: up to `few` prefixes are broadcast instead, more are sorted and merged.
+    """
+    named = t.customer.where(F.col("c_name").isNotNull() & F.col("c_nationkey").isNotNull())
+    keys = named.select(F.concat_ws("_", F.lit("p"), "c_name", "c_nationkey", F.lit("1999")).alias("key"))
+    prefixes = named.groupBy(F.col("c_nationkey").alias("nation"), F.substring("c_name", 1, 12).alias("prefix")).agg(F.min("c_custkey").alias("c_custkey"))
+    lengths = dict(map(tuple, prefixes.groupBy(F.length("prefix")).count().collect()))  # 13 at most
+    sizes = F.array(*map(F.lit, sorted(lengths) or [12]))
     parts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - n + 1, F.lit(1))), lambda i: F.substring("key", i, n))
-    parsed = keys.withColumn("nation", F.regexp_extract("key", r"_(\d+)_\d{4}$", 1).cast("int")).withColumn("prefix", F.explode(F.array_distinct(F.flatten(F.transform(sizes, parts)))))
-    return parsed.join(prefixes, ["nation", "prefix"]).groupBy("key").agg(F.min("c_custkey").alias("c_custkey"))
+    parsed = keys.withColumn("nation", F.regexp_extract("key", r"_(-?\d+)_\d{4}$", 1).cast("int")).withColumn("prefix", F.explode(F.array_distinct(F.flatten(F.transform(sizes, parts)))))
+    right = F.broadcast(prefixes) if sum(lengths.values()) <= few else prefixes.hint("merge")
+    return parsed.join(right, ["nation", "prefix"]).groupBy("key").agg(F.min("c_custkey").alias("c_custkey"))
 
 
 PREFIX5 = "SELECT key, MIN(c.c_custkey) AS c_custkey FROM (SELECT 'p_' || c_name || '_' || c_nationkey || '_1999' AS key, c_nationkey AS nation FROM customer) k JOIN customer c ON c.c_nationkey = k.nation AND contains(k.key, substring(c.c_name, 1, 12)) GROUP BY key"
