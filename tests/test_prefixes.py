@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from plumbline.plans import joins
+from plumbline.plans import joins, registry
 from plumbline.plans.base import Tables
 
 
@@ -25,3 +25,14 @@ def test_odd_names(spark, tmp_path, few):
 def test_parts_are_not_broadcast(spark, few):
     plan = joins.prefix5(Tables(spark, "/root/testdata/sf0.001"), few)._jdf.queryExecution().executedPlan().toString()
     assert "BuildLeft" not in plan and ("BuildRight" in plan) == (few > 0)
+
+
+def test_parts_are_not_broadcast_by_the_other_query(spark):
+    """With Spark's own threshold, which the size of the keys before they are cut into parts stays below."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        out = registry.queries()["jn_prefix5_all"](spark, "/root/testdata/sf0.1")
+        assert "BuildLeft" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 15_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
