@@ -4,7 +4,8 @@ The ratio of two names is 2 m / (la + lb), with m the signs in matching blocks.
 m >= least * (la + lb) / 2, which bounds the lengths. Matching blocks are at most la + lb - 2 m + 1, and a block of n signs holds
 n - q + 1 q-grams, so at least m - (q - 1) * (la + lb - 2 m + 1) q-grams are shared, occurrences counted. Two names that share that
 many share one of each other's rarest ones (all but that many less one): those are the index keys. Candidates then pass the count
-of shared q-grams, and only what is left gets the exact ratio.
+of shared q-grams, and only what is left gets the exact ratio. Where just the best partner is asked for, and so many signs are common to
+all names that an index leaves nearly all pairs, best_match goes by bounds of the ratio instead.
 """
 
 from __future__ import annotations
@@ -12,8 +13,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from plumbline.functions.similarity import ratio
+
+from .bestratio import Partners
 
 
 def grams(name: Column, q: int) -> Column:
@@ -84,9 +91,37 @@ def near_names(left: DataFrame, right: DataFrame, block: Sequence[str], left_nam
     return scored.unionByName(same)
 
 
+#: Names of the left and of the right that one task compares at most (on average).
+TILE = 1024, 32_768
+
+
 def best_match(left: DataFrame, right: DataFrame, block: Sequence[str], left_name: str, right_name: str, score, least: float) -> DataFrame:
-    """The rows of left with the best-scoring name of right in equal blocks and its score; ties go to the smaller name. Rows without one are left out."""
-    pairs = near_names(left, right, block, left_name, right_name, score, least)
-    best = pairs.groupBy(*block, "a").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("b"))).alias("__b"))
-    best = best.select(*block, F.col("a").alias(left_name), F.col("__b.b").alias(right_name), (-F.col("__b.s")).alias("score"))
-    return left.join(best, [*block, left_name])
+    """The rows of left with the best-scoring name of right in equal blocks and its score; ties go to the smaller name. Rows without one are left out.
+
+    The names of a block meet in tiles, each name with all names of the other side in one tile or another. What a tile leaves out rests on bounds of
+    the ratio, so that is the only score taken.
+    """
+    if score is not ratio:
+        raise ValueError("best_match knows bounds of the ratio only")
+    names = lambda df, c: df.where(F.col(c).isNotNull()).select(*block, F.col(c).alias("name")).distinct()
+    a, b = names(left, left_name), names(right, right_name)
+    count = lambda df, most, out: df.groupBy(*block).agg(F.ceil(F.count("*") / most).cast("int").alias(out))
+    tiles = count(a, TILE[0], "__rows").join(count(b, TILE[1], "__columns"), list(block)) if block else count(a, TILE[0], "__rows").crossJoin(count(b, TILE[1], "__columns"))
+    dealt = lambda n: F.pmod(F.xxhash64("name"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # merged: compressed names look small to Spark, which would broadcast all of them
+    with_tiles = lambda df: df.join(tiles.hint("merge"), list(block)) if block else df.crossJoin(F.broadcast(tiles)).where("__rows > 0 and __columns > 0")
+    keys, tasks = [*block, "__i", "__j"], int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = with_tiles(a).select(*block, "name", dealt("__rows").alias("__i"), every("__columns").alias("__j")).repartition(tasks, *keys)
+    b = with_tiles(b).select(*block, "name", every("__rows").alias("__i"), dealt("__columns").alias("__j")).repartition(tasks, *keys)
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        found = Partners(y["name"].to_pylist(), least).best(x["name"].to_pylist())
+        own = x.take(pa.array([i for i, _, _ in found], pa.int64()))
+        return pa.table({**{c: own[c] for c in block}, "a": own["name"], "b": pa.array([n for _, n, _ in found], pa.string()), "s": pa.array([s for _, _, s in found], pa.float64())})
+
+    shape = T.StructType([*(left.schema[c] for c in block), T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("s", T.DoubleType())])
+    pairs = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(best, shape)
+    top = pairs.groupBy(*block, "a").agg(F.min(F.struct((-F.col("s")).alias("s"), F.col("b"))).alias("__b"))
+    top = top.select(*block, F.col("a").alias(left_name), F.col("__b.b").alias(right_name), (-F.col("__b.s")).alias("score"))
+    return left.join(top.hint("merge"), [*block, left_name])
